@@ -19,10 +19,10 @@ from .rules import (
     Sets,
     checked_models,
     covariate_terms,
-    encode,
     forecast_steps,
     label_steps,
     model_ids,
+    rule_counts,
 )
 from .series import change_rate
 
@@ -49,26 +49,28 @@ def first_moves(series: DataFrame, sets: Sets = Sets()) -> DataFrame:
     )
 
 
-def _weight(consequent: str) -> str:
-    """Weight of midpoint ``j``, from ``counts`` and ``first_labels``."""
+def _weight(consequent: str, j: int) -> str:
+    """Weight of midpoint ``j``, from ``counts`` and ``first_labels``; 0 beyond
+    the last midpoint."""
     if consequent == "by_label":
-        return "get(counts, j)"
-    at_j = "coalesce(get(counts, get(first_labels, j)), 0)"
-    if consequent == "unguarded":
-        return at_j
-    return f"if(get(counts, j) > 0, {at_j}, 0)"
+        weight = f"get(counts, {j})"
+    else:
+        weight = f"coalesce(get(counts, get(first_labels, {j})), 0)"
+        if consequent == "by_position":
+            weight = f"if(get(counts, {j}) > 0, {weight}, 0)"
+    return f"double(if({j} < size(mids), {weight}, 0))"
 
 
 def rule_book(
-    rules: DataFrame,
+    counts: DataFrame,
     models: DataFrame,
     moves: DataFrame,
     sets: Sets = Sets(),
     consequent: str = "by_position",
     edge: float = EDGE_OFFSET,
 ) -> DataFrame:
-    """``(key, ids, var, ord, code, u, d)``: weighted midpoint sum and weight of
-    every antecedent that carries weight."""
+    """``(key, ids, slot, code, u, d)``: weighted midpoint sum and weight of every
+    antecedent, from ``antecedent_counts``."""
     if consequent not in CONSEQUENTS:
         raise ValueError(f"consequent must be one of {CONSEQUENTS}")
     ids = model_ids(models)
@@ -77,34 +79,24 @@ def rule_book(
         f"{interval_midpoints('c0', edge)} as mids",
         f"transform(moves, r -> {label_of('c0', 'r')}) as first_labels",
     )
-    coded = rules
-    if "code" not in rules.columns:
-        coded = rules.withColumn("code", F.expr(encode("antecedent", sets.radix)))
-    counts = ", ".join(f"sum(if(consequent = {j}, n, 0))" for j in range(sets.price))
-    antecedents = (
-        spread(coded, ["key", *ids])
-        .groupBy("key", *ids, "var", "ord", "code")
-        .agg(F.expr(f"array({counts})").alias("counts"))
-    )
+    places = range(sets.price)
+    found = ["key", *ids, "slot", "code"]
     return (
-        antecedents.join(compiled, ["key", *ids])
-        .selectExpr(
-            "key", *ids, "var", "ord", "code", "mids",
-            f"transform(mids, (m, j) -> double({_weight(consequent)})) as weights",
-        )
+        spread(counts, ["key", *ids])
+        .join(compiled, ["key", *ids])
+        .selectExpr(*found, "mids", *[f"{_weight(consequent, j)} as y{j}" for j in places])
         .selectExpr(
-            "key", *ids, "var", "ord", "code",
-            "aggregate(zip_with(weights, mids, (x, m) -> x * m), 0D, (a, x) -> a + x) as u",
-            "aggregate(weights, 0D, (a, x) -> a + x) as d",
+            *found,
+            " + ".join(f"y{j} * coalesce(get(mids, {j}), 0D)" for j in places) + " as u",
+            " + ".join(f"y{j}" for j in places) + " as d",
         )
-        .where("d > 0")
     )
 
 
 def forecast_terms(
     steps: DataFrame,
     moves: DataFrame,
-    rules: DataFrame,
+    counts: DataFrame | None,
     models: DataFrame,
     terms: list[tuple[int, int]],
     layout: SeriesLayout = SeriesLayout(),
@@ -114,11 +106,17 @@ def forecast_terms(
     lookup: str = "auto",
 ) -> DataFrame:
     """``(key, ids, t, base, actual, rate)`` for every step. ``rate`` pools the
-    rules of all ``terms``; without a matching rule it is 0, and it is NULL for
-    the first two positions, which have no rate before them."""
+    rules of all ``terms``, whose ``counts`` have the same slots; without a
+    matching rule it is 0, and it is NULL for the first two positions, which have
+    no rate before them."""
     ids = model_ids(models)
     sound = checked_models(models, sets)
-    book = rule_book(rules, models, moves, sets, consequent, edge)
+    if not terms:  # no covariates: nothing to look up, the price stays
+        placed = spread(per_cell(sound, steps, layout), layout.cell)
+        return steps.join(placed.hint("merge"), layout.cell).selectExpr(
+            "key", *ids, "t", "base", "actual", "if(t >= 2, 0D, null) as rate"
+        )
+    book = rule_book(counts, models, moves, sets, consequent, edge)
     by_map = lookup == "map" or (lookup == "auto" and sets.radix <= MAP_RADIX)
     pooled = _pool_by_map if by_map else _pool_by_join
     found = pooled(steps, book, sound, terms, layout, sets)
@@ -127,20 +125,12 @@ def forecast_terms(
     )
 
 
-def _slot(terms: list[tuple[int, int]]) -> str:
-    cases = " ".join(f"when var = {k} and ord = {o} then {s}" for s, (k, o) in enumerate(terms))
-    return f"case {cases} end"
-
-
 def _pool_by_map(steps, book, models, terms, layout, sets) -> DataFrame:
     ids = model_ids(models)
     slots = range(len(terms))
     # the maps are made before the join, once per model and not per step
     pages = (
-        book.selectExpr(
-            "key", *ids,
-            f"struct({_slot(terms)} as slot, code, struct(u, d) as hit) as entry",
-        )
+        book.selectExpr("key", *ids, "struct(slot, code, struct(u, d) as hit) as entry")
         .groupBy("key", *ids)
         .agg(F.collect_list("entry").alias("page"))
         .selectExpr(
@@ -166,9 +156,7 @@ def _pool_by_map(steps, book, models, terms, layout, sets) -> DataFrame:
 def _pool_by_join(steps, book, models, terms, layout, sets) -> DataFrame:
     ids = model_ids(models)
     keys = [*layout.cell, *ids]
-    entries = per_cell(
-        book.selectExpr("key", *ids, f"{_slot(terms)} as slot", "code", "u", "d"), steps, layout
-    )
+    entries = per_cell(book, steps, layout)
     asked = label_steps(steps, models, terms, layout, sets).selectExpr(
         *keys, "t", "base", "actual", "posexplode(codes) as (slot, code)"
     )
@@ -182,7 +170,8 @@ def _pool_by_join(steps, book, models, terms, layout, sets) -> DataFrame:
 def _forecast_series(series, rules, models, terms, aligned, layout, sets, **options) -> DataFrame:
     steps = forecast_steps(series, layout, aligned)
     moves = first_moves(series, sets)
-    return forecast_terms(steps, moves, rules, models, terms, layout, sets, **options)
+    counts = rule_counts(rules, terms, sets) if terms else None
+    return forecast_terms(steps, moves, counts, models, terms, layout, sets, **options)
 
 
 def forecast_multiorder(
@@ -220,7 +209,8 @@ def forecast_by_variable(
     parts = []
     for k in sorted({k for k, _ in terms}):
         own = [term for term in terms if term[0] == k]
-        one = forecast_terms(steps, moves, rules, models, own, layout, sets, **options)
+        counts = rule_counts(rules, own, sets)
+        one = forecast_terms(steps, moves, counts, models, own, layout, sets, **options)
         parts.append(one.select("key", *ids, F.lit(k).alias("var"), "t", "base", "actual", "rate"))
     return reduce(DataFrame.unionByName, parts)
 

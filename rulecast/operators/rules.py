@@ -131,28 +131,29 @@ def label_steps(
     NULL while the series is too young). ``extra`` model columns are kept."""
     # steps are laid out and sorted by cell already; only the models move
     placed = spread(per_cell(models, steps, layout), layout.cell)
+    kept = [*layout.cell, *model_ids(models), "t", "base", "actual"]
     deepest = {k: max(o for j, o in terms if j == k) for k, _ in terms}
-    past = [
+    labels = [f"{label_of('c0', 'move', sets.limit(0) - 1)} as p"] + [
         f"{label_of(f'c{k}', f'w{k}[{back}]', sets.limit(k) - 1)} as a{k}_{back}"
         for k, o in deepest.items()
         for back in range(o)
     ]
-    kept = [*layout.cell, *model_ids(models), "t", "base", "actual"]
-    # The label of the move stays an array function: such a projection is compiled
-    # in small methods, while all labels fused into one whole-stage method would be
-    # too large for the JIT.
-    codes = ", ".join(_code(k, order, sets.radix) for k, order in terms)
+    # Passing t through an array function changes nothing but keeps this projection
+    # out of the fused whole-stage method: all labels in there would make it too
+    # large for the JIT, while on its own the projection is compiled in parts.
+    apart = ["element_at(transform(array(t), x -> x), 1) as t" if c == "t" else c for c in kept]
+    codes = ", ".join(_code(f"a{k}", order, sets.radix) for k, order in terms)
     return (
         steps.join(placed.hint("merge"), layout.cell)
-        .selectExpr(*kept, f"{label_of('c0', 'move')} as p", *past, *extra)
+        .selectExpr(*apart, *labels, *extra)
         .selectExpr(*kept, "p", f"array({codes}) as codes", *extra)
     )
 
 
-def _code(var: int, order: int, radix: int) -> str:
-    code = f"bigint(a{var}_{order - 1})"
+def _code(labels: str, order: int, radix: int) -> str:
+    code = f"bigint({labels}_{order - 1})"
     for back in range(order - 2, -1, -1):
-        code = f"({code} * {radix} + a{var}_{back})"
+        code = f"({code} * {radix} + {labels}_{back})"
     return code
 
 
@@ -197,27 +198,67 @@ def mine_terms(
     layout: SeriesLayout = SeriesLayout(),
     sets: Sets = Sets(),
 ) -> DataFrame:
-    """Rules of several (variable, order) terms from ready-made steps."""
-    return count_grams(steps, models, terms, layout, sets).selectExpr(
-        "key", *model_ids(models), "var", "ord",
-        f"{_spell('code', 'ord', sets.radix)} as antecedent", "consequent", "n",
+    """Rules of several (variable, order) terms from ready-made steps. Counting
+    combines inside the map tasks, so a hot series sends only its distinct rules."""
+    ids = model_ids(models)
+    variables, orders = (", ".join(str(term[j]) for term in terms) for j in (0, 1))
+    return (
+        _grams(steps, models, terms, layout, sets)
+        .groupBy("key", *ids, "slot", "code", "consequent")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr(
+            "key", *ids, f"array({variables})[slot] as var", f"array({orders})[slot] as ord",
+            "code", "consequent", "n",
+        )
+        .selectExpr(
+            "key", *ids, "var", "ord",
+            f"{_spell('code', 'ord', sets.radix)} as antecedent", "consequent", "n",
+        )
     )
 
 
-def count_grams(steps, models, terms, layout, sets) -> DataFrame:
-    """:func:`mine_terms` with the antecedent still in ``code`` form. Counting
-    combines inside the map tasks, so a hot series sends only its distinct rules."""
-    ids = model_ids(models)
+def _grams(steps, models, terms, layout, sets) -> DataFrame:
+    """``(key, ids, consequent, slot, code)``: every rule occurrence; slot is the
+    place of its term in ``terms``."""
     labelled = label_steps(steps, checked_models(models, sets), terms, layout, sets)
-    grams = ", ".join(
-        f"named_struct('var', {k}, 'ord', {o}, 'code', codes[{s}])" for s, (k, o) in enumerate(terms)
-    )
+    grams = ", ".join(f"struct({s} as slot, codes[{s}] as code)" for s in range(len(terms)))
     return (
         labelled.where("t >= 2 and p is not null")
-        .selectExpr("key", *ids, "p as consequent", f"inline(array({grams}))")
+        .selectExpr("key", *model_ids(models), "p as consequent", f"inline(array({grams}))")
         .where("code is not null")
-        .groupBy("key", *ids, "var", "ord", "code", "consequent")
-        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def antecedent_counts(
+    steps: DataFrame,
+    models: DataFrame,
+    terms: list[tuple[int, int]],
+    layout: SeriesLayout = SeriesLayout(),
+    sets: Sets = Sets(),
+) -> DataFrame:
+    """``(key, ids, slot, code, counts)``: the rules with one row per antecedent,
+    ``counts[c]`` being the count of consequent c."""
+    counts = ", ".join(f"count_if(consequent = {c})" for c in range(sets.price))
+    return (
+        _grams(steps, models, terms, layout, sets)
+        .groupBy("key", *model_ids(models), "slot", "code")
+        .agg(F.expr(f"array({counts})").alias("counts"))
+    )
+
+
+def rule_counts(rules: DataFrame, terms: list[tuple[int, int]], sets: Sets = Sets()) -> DataFrame:
+    """A rule table in the form of :func:`antecedent_counts`."""
+    ids = model_ids(rules)
+    cases = " ".join(f"when var = {k} and ord = {o} then {s}" for s, (k, o) in enumerate(terms))
+    counts = ", ".join(f"sum(if(consequent = {c}, n, 0))" for c in range(sets.price))
+    return (
+        rules.selectExpr(
+            "key", *ids, f"case {cases} end as slot", f"{encode('antecedent', sets.radix)} as code",
+            "consequent", "n",
+        )
+        .where("slot is not null")
+        .groupBy("key", *ids, "slot", "code")
+        .agg(F.expr(f"array({counts})").alias("counts"))
     )
 
 

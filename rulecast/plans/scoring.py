@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.forecast import first_moves, forecast_terms, price_from_rate, rmse
 from ..operators.layout import SeriesLayout
-from ..operators.rules import Sets, count_grams, covariate_terms, forecast_steps
+from ..operators.rules import Sets, antecedent_counts, covariate_terms, forecast_steps
 from ..operators.series import series_keys
 
 
@@ -29,10 +29,12 @@ def score_models(
     """
     terms = covariate_terms(models)
     known = models.join(series_keys(train), "key").join(series_keys(test), "key")
-    rules = count_grams(forecast_steps(train, layout), known, terms, layout, sets)
+    counts = None
+    if terms:
+        counts = antecedent_counts(forecast_steps(train, layout), known, terms, layout, sets)
     forecast = forecast_terms(
         forecast_steps(test, layout, aligned=align_test), first_moves(test, sets),
-        rules, known, terms, layout, sets, consequent=consequent,
+        counts, known, terms, layout, sets, consequent=consequent,
     )
     return rmse(price_from_rate(forecast, rate_divisor, keep_head=True))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.forecast import first_moves, forecast_terms, price_from_rate, rmse
 from ..operators.layout import SeriesLayout
 from ..operators.population import Search, init_population, next_generation, select_elite
-from ..operators.rules import Sets, count_grams, covariate_terms, cut_columns, forecast_steps
+from ..operators.rules import Sets, antecedent_counts, covariate_terms, cut_columns, forecast_steps
 from ..operators.series import series_range, value_columns
 from ..settle import settle
 from .batch_fitness import BATCH_ROWS, batch_fitness
@@ -58,13 +58,13 @@ def evaluate_steps(
     short = layout.whole_keys and layout.longest is not None and layout.longest <= BATCH_ROWS
     if strategy == "batch" and not short:
         raise ValueError(f"batch fitness needs series proven to have at most {BATCH_ROWS} rows")
-    if strategy != "relational" and short:
+    terms = covariate_terms(population)
+    if terms and strategy != "relational" and short:
         fitness = batch_fitness(steps, population, sets, consequent, rate_divisor, slices)
     else:
-        terms = covariate_terms(population)
-        rules = count_grams(steps, population, terms, layout, sets)
+        counts = antecedent_counts(steps, population, terms, layout, sets) if terms else None
         forecast = forecast_terms(
-            steps, moves, rules, population, terms, layout, sets, consequent=consequent
+            steps, moves, counts, population, terms, layout, sets, consequent=consequent
         )
         fitness = rmse(price_from_rate(forecast, rate_divisor)).withColumnRenamed("rmse", "fitness")
     return population.join(fitness, ["key", "model", "ind"], "left")

@@ -36,9 +36,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
     Used where a table feeds several branches of a plan or a driver loop would
-    grow its lineage. The written rows outlive any executor, and the partitioning
-    of ``df`` is kept, so a later window or join on the same keys needs no
-    second shuffle.
+    grow its lineage. The written rows outlive any executor.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
