@@ -32,8 +32,8 @@ def label_of(cuts: str, value: str, most: int | None = None) -> str:
     if most is not None and most <= UNROLLED_CUTS:
         tests = " ".join(f"when get({cuts}, {j}) > {value} then {j}" for j in range(most))
         return f"case when {value} is null then null {tests} else size({cuts}) end"
-    at = f"nullif(array_position(transform({cuts}, x -> x > {value}), true), 0)"
-    return f"if({value} is null, null, int(coalesce({at} - 1, size({cuts}))))"
+    above = f"concat(transform({cuts}, x -> x > {value}), array(true))"
+    return f"if({value} is null, null, int(array_position({above}, true) - 1))"
 
 
 def interval_midpoints(cuts: str, edge: float = EDGE_OFFSET) -> str:

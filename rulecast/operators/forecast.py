@@ -158,7 +158,7 @@ def _pool_by_join(steps, book, models, terms, layout, sets) -> DataFrame:
     keys = [*layout.cell, *ids]
     entries = per_cell(book, steps, layout)
     asked = label_steps(steps, models, terms, layout, sets).selectExpr(
-        *keys, "t", "base", "actual", "posexplode(codes) as (slot, code)"
+        *keys, "t", "base", "actual", "posexplode_outer(codes) as (slot, code)"
     )
     return (
         asked.join(entries, [*keys, "slot", "code"], "left")

@@ -125,35 +125,34 @@ def label_steps(
     layout: SeriesLayout,
     sets: Sets,
     extra: tuple[str, ...] = (),
+    since: int = 0,
 ) -> DataFrame:
     """Steps x models with the consequent label ``p`` and per term the
     antecedent ``codes`` (labels as digits in base ``sets.radix``, oldest first;
-    NULL while the series is too young). ``extra`` model columns are kept."""
+    NULL while the series is too young). ``extra`` model columns are kept, and
+    only steps from position ``since`` on."""
     # steps are laid out and sorted by cell already; only the models move
     placed = spread(per_cell(models, steps, layout), layout.cell)
-    kept = [*layout.cell, *model_ids(models), "t", "base", "actual"]
-    deepest = {k: max(o for j, o in terms if j == k) for k, _ in terms}
-    labels = [f"{label_of('c0', 'move', sets.limit(0) - 1)} as p"] + [
-        f"{label_of(f'c{k}', f'w{k}[{back}]', sets.limit(k) - 1)} as a{k}_{back}"
-        for k, o in deepest.items()
-        for back in range(o)
-    ]
-    # Passing t through an array function changes nothing but keeps this projection
-    # out of the fused whole-stage method: all labels in there would make it too
-    # large for the JIT, while on its own the projection is compiled in parts.
-    apart = ["element_at(transform(array(t), x -> x), 1) as t" if c == "t" else c for c in kept]
-    codes = ", ".join(_code(f"a{k}", order, sets.radix) for k, order in terms)
-    return (
-        steps.join(placed.hint("merge"), layout.cell)
-        .selectExpr(*apart, *labels, *extra)
-        .selectExpr(*kept, "p", f"array({codes}) as codes", *extra)
+    rows = steps.where(f"t >= {since}") if since else steps
+    kept = [*layout.cell, *model_ids(models), "base", "actual", *extra]
+    # Labels occur in the codes of several orders; Spark computes each once per row.
+    # The array functions in p and t (which changes nothing) keep this projection out of
+    # the fused whole-stage method, whichever of them is used later: all labels in there
+    # would make it too large for the JIT, while on its own it is compiled in parts.
+    codes = ", ".join(_code(k, order, sets) for k, order in terms)
+    return rows.join(placed.hint("merge"), layout.cell).selectExpr(
+        *kept,
+        "element_at(transform(array(t), x -> x), 1) as t",
+        f"{label_of('c0', 'move')} as p",
+        f"array({codes}) as codes",
     )
 
 
-def _code(labels: str, order: int, radix: int) -> str:
-    code = f"bigint({labels}_{order - 1})"
-    for back in range(order - 2, -1, -1):
-        code = f"({code} * {radix} + {labels}_{back})"
+def _code(var: int, order: int, sets: Sets) -> str:
+    labels = [label_of(f"c{var}", f"w{var}[{back}]", sets.limit(var) - 1) for back in range(order)]
+    code = f"bigint({labels[-1]})"
+    for label in reversed(labels[:-1]):
+        code = f"({code} * {sets.radix} + {label})"
     return code
 
 
@@ -206,6 +205,7 @@ def mine_terms(
         _grams(steps, models, terms, layout, sets)
         .groupBy("key", *ids, "slot", "code", "consequent")
         .agg(F.count(F.lit(1)).alias("n"))
+        .where("consequent is not null")
         .selectExpr(
             "key", *ids, f"array({variables})[slot] as var", f"array({orders})[slot] as ord",
             "code", "consequent", "n",
@@ -218,15 +218,14 @@ def mine_terms(
 
 
 def _grams(steps, models, terms, layout, sets) -> DataFrame:
-    """``(key, ids, consequent, slot, code)``: every rule occurrence; slot is the
-    place of its term in ``terms``."""
-    labelled = label_steps(steps, checked_models(models, sets), terms, layout, sets)
-    grams = ", ".join(f"struct({s} as slot, codes[{s}] as code)" for s in range(len(terms)))
-    return (
-        labelled.where("t >= 2 and p is not null")
-        .selectExpr("key", *model_ids(models), "p as consequent", f"inline(array({grams}))")
-        .where("code is not null")
-    )
+    """``(key, ids, consequent, slot, code)``: every antecedent and what followed,
+    NULL if the next rate is undefined; slot is the place of its term in ``terms``."""
+    labelled = label_steps(steps, checked_models(models, sets), terms, layout, sets, since=2)
+    # the outer form: for the plain one Spark would add a test that codes has entries,
+    # and compute all labels a second time for it
+    return labelled.selectExpr(
+        "key", *model_ids(models), "p as consequent", "posexplode_outer(codes) as (slot, code)"
+    ).where("code is not null")
 
 
 def antecedent_counts(
