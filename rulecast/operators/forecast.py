@@ -130,7 +130,8 @@ def _pool_by_map(steps, book, models, terms, layout, sets) -> DataFrame:
     slots = range(len(terms))
     # the maps are made before the join, once per model and not per step
     pages = (
-        book.selectExpr("key", *ids, "struct(slot, code, struct(u, d) as hit) as entry")
+        # collect_list leaves NULLs out; a filter on d would be computed below the join
+        book.selectExpr("key", *ids, "if(d > 0, struct(slot, code, struct(u, d) as hit), null) as entry")
         .groupBy("key", *ids)
         .agg(F.collect_list("entry").alias("page"))
         .selectExpr(
