@@ -5,8 +5,10 @@ of sizes n and m link (p * |union| <= q * |intersection|, similarity p/q) only w
 least T shared shingles, so of each set's inverted lists the longest T-1 are skipped: the
 pair must meet in the others, the short ones. Spark groups the short lists by shingle.
 
-* A list of up to ``LIST_SIZE`` classes is a block. In it, for each set, its short lists
-  are heap-merged and the skipped long ones are probed by binary search (DivideSkip).
+* Lists of up to ``LIST_SIZE`` classes give candidate pairs. A class and its candidates are
+  a block (pairs whose two sides have the same smallest candidate meet there anyway). In a
+  block, for each set, its short lists are heap-merged and the skipped long ones are probed
+  by binary search (DivideSkip).
 * A longer list (a large group of near copies, or a very common passage) gets a leader,
   its smallest id, and each member's difference to the leader. |x ^ y| = |dx| + |dy| -
   2 |dx & dy|, so with w(x) = (p+q)|dx| - (q-p)|x| two members link exactly if they share
@@ -15,7 +17,9 @@ pair must meet in the others, the short ones. Spark groups the short lists by sh
   short inverted lists, of the differences within the group. This repeats until no list
   is long; as each round's leaders are larger ids than those before, it ends.
 
-So no pair is lost, no list is cut, and a group of n near copies makes about n rows.
+So no pair is lost, no list is cut, and a group of n near copies makes about n rows. At the
+first level lists are split by size bands, and prefixes are a few tokens longer than they
+must be: a pair then meets in as many short lists (SPARE), which drops chance encounters.
 
 Lists are ordered by frequency: shingles counted in at least ``FREQUENT`` texts of a
 batch, at most ``KNOWN`` of the most frequent, come last, the others by hash. The order
@@ -41,11 +45,14 @@ from pyspark.sql import functions as F
 from .common import WordHashes, ascii_words, keep_ids, shingles, stored
 from .components import connected_components
 
-LIST_SIZE = 24
-FREQUENT = 3  # times in CHUNK shingles
-KNOWN = 1 << 18  # shingles (2 MB) whose frequency all tasks know
+LIST_SIZE = 16
+SPARE = 4  # short lists in which a pair must meet, if its sets are large enough
+FREQUENT = 2  # times in CHUNK shingles
+KNOWN = 1 << 19  # shingles (6 MB) whose frequency all tasks know
 CHUNK = 2_000_000
 
+LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
+
 _HASHES = WordHashes()
 
 
@@ -90,7 +97,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     table = counts.where(F.floor(F.log2("n") * 8) >= least).toArrow()
     values, n = table.column("s").to_numpy(), table.column("n").to_numpy()
     order = np.argsort(values)
-    return values[order], n[order]
+    return values[order], np.minimum(n[order], 1 << 30).astype(np.int32)
 
 
 def in_list_order(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -183,42 +190,58 @@ def search_blocks(members: DataFrame, sets: DataFrame, p: int, q: int) -> DataFr
 # -- short lists -------------------------------------------------------------
 
 
-def short_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (gid, id, open, prefix): blocks (block, id) of lists up to LIST_SIZE, and
-    members (gid, id) of longer ones, where the new gid is the list's smallest id. Lists
-    without an open member have nothing to find."""
-    each = rows.select("gid", "id", "open", F.explode("prefix").alias("token"))
-    lists = (each.groupBy("gid", "token").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("open").alias("some"))
-             .where("n > 1 AND some").drop("some"))
-    met = stored(each.drop("open").join(lists, ["gid", "token"]), "lists")
-    blocks = (met.where(F.col("n") <= LIST_SIZE).groupBy("gid", "token").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-              .select("ids").where("size(ids) > 1").distinct())
-    blocks = blocks.select(F.md5(F.to_json("ids")).alias("block"), F.explode("ids").alias("id"))
-    long = met.where(F.col("n") > LIST_SIZE).select(F.col("leader").alias("gid"), "id").distinct()
-    return blocks, long
+def short_lists(rows: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (gid, id, n, least, open, prefix): candidate pairs (a, b) that meet in
+    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists, where
+    the new gid is the list's smallest id. A pair that meets in a longer list is searched
+    there. Lists without an open member have nothing to find."""
+    about = F.expr("shiftleft(n, 8) + least * 2 + cast(open AS int)").alias("about")
+    each = rows.select("gid", "id", about, F.explode("prefix").alias("token")).select(
+        F.xxhash64("gid", "token").alias("key"), "id", "about")
+    lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.max(F.col("about") % 2).alias("some"))
+                   .where("size > 1 AND some = 1").drop("some"), "lists")
+    met = stored(each.join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
+    long = met.where(F.col("size") > LIST_SIZE).select(F.col("leader").alias("gid"), "id").distinct()
+    short = met.where(F.col("size") <= LIST_SIZE).groupBy("key").agg(F.collect_set(F.struct("id", "about")).alias("xs"))
+    one, two = F.explode("xs"), F.explode("xs")
+    pairs = short.select("xs", one.alias("x")).select("x", two.alias("y")).where("x.id < y.id").selectExpr(
+        "x.id a", "y.id b", "shiftright(x.about, 8) n", "shiftright(y.about, 8) m",
+        "least(shiftright(x.about & 255, 1), shiftright(y.about & 255, 1)) least", "(x.about | y.about) & 1 some")
+    pairs = pairs.where(f"some = 1 AND {q}L * least(n, m) >= {p}L * greatest(n, m)")
+    pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least").select("a", "b")
+    return pairs, long
+
+
+def blocks_of(pairs: DataFrame) -> DataFrame:
+    """Members (block, id) of blocks in which all ``pairs`` (a < b) meet."""
+    smallest = pairs.groupBy("b").agg(F.min("a").alias("with"))
+    marked = pairs.join(smallest, "b").join(smallest.select(F.col("b").alias("a"), F.col("with").alias("same")), "a", "left")
+    pairs = marked.where("same IS NULL OR same <> with").select("a", "b")
+    return pairs.select(F.col("a").alias("block"), F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("b")).distinct())
 
 
 def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     """One round in long lists: links (a, b) with the member of least weight, and the rows
-    (gid, id, open, prefix) of the remaining search."""
+    (gid, id, n, least, open, prefix) of the remaining search."""
     leaders = sets.select(F.col("id").alias("gid"), F.col("tokens").alias("lead"))
     both = groups.join(sets, "id").join(leaders, "gid").select("gid", "id", "tokens", "lead")
 
     def subtract(batches):
         for batch in batches:
-            out, weight = [], []
+            out, weight, sizes = [], [], []
             for mine, lead in zip(batch.column(2), batch.column(3)):
                 x, y = mine.values.to_numpy(), lead.values.to_numpy()
                 out.append(np.setxor1d(x, y, assume_unique=True))
                 weight.append((p + q) * len(out[-1]) - (q - p) * len(x))
+                sizes.append(len(x))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(weight, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
-                names=["gid", "id", "w", "delta"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(weight, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                names=["gid", "id", "n", "w", "delta"])
 
-    members = stored(both.mapInArrow(subtract, "gid bigint, id bigint, w bigint, delta array<bigint>"), "differences")
+    members = stored(both.mapInArrow(subtract, "gid bigint, id bigint, n bigint, w bigint, delta array<bigint>"), "differences")
     nearest = members.groupBy("gid").agg(F.min(F.struct("w", "id")).alias("near"))
     members = members.join(nearest, "gid").select(
-        "gid", "id", "w", "delta", F.col("near.w").alias("least"), F.col("near.id").alias("near")).withColumn("open", F.expr("w + least > 0"))
+        "gid", "id", "n", "w", "delta", F.col("near.w").alias("least"), F.col("near.id").alias("near")).withColumn("open", F.expr("w + least > 0"))
     links = members.where("NOT open AND id <> near").select(F.col("id").alias("a"), F.col("near").alias("b"))
     shared = groups.sparkSession.sparkContext.broadcast(known)
 
@@ -232,12 +255,13 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
                 shortest = -(-need // (2 * (p + q)))  # differences that such a pair shares at least
                 out.append(in_list_order(d, shared.value)[:max(0, len(d) + 1 - shortest)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("gid"), batch.column("id"), batch.column("open"), pa.array(out, pa.list_(pa.int64()))],
-                names=["gid", "id", "open", "prefix"])
+                [batch.column("gid"), batch.column("id"), batch.column("n"), pa.array([1] * len(out), pa.int64()), batch.column("open"), pa.array(out, pa.list_(pa.int64()))],
+                names=["gid", "id", "n", "least", "open", "prefix"])
 
     # Groups without an open member are done.
     work = members.groupBy("gid").agg(F.max("open").alias("some")).where("some").select("gid")
-    rows = members.join(work, "gid", "left_semi").mapInArrow(prefixes, "gid bigint, id bigint, open boolean, prefix array<bigint>")
+    rows = members.join(work, "gid", "left_semi").mapInArrow(
+        prefixes, "gid bigint, id bigint, n bigint, least bigint, open boolean, prefix array<bigint>")
     return links, rows
 
 
@@ -256,21 +280,27 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             sizes, digests, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = text_shingles(text, k)
-                sizes.append(len(tokens))
-                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                prefixes.append(in_list_order(tokens, shared.value)[:len(tokens) + 1 - -(-p * len(tokens) // q)] if len(tokens) else tokens)
+                n = len(tokens)
+                least = -(-p * n // q)
+                sizes.append(n)
+                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
+                prefixes.append(in_list_order(tokens, shared.value)[:n - least + min(SPARE, least)] if n else tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "class", "prefix"])
 
     rows = stored(docs.mapInArrow(describe, "doc_id bigint, n bigint, class binary, prefix array<bigint>"), "sets")
     classes = stored(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")), "classes")
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
 
-    level = classes.select(F.lit(0).cast("bigint").alias("gid"), "id", F.lit(True).alias("open"), "prefix")
-    blocks, groups = short_lists(level)
-    blocks, groups = [stored(blocks, "blocks")], stored(groups, "groups")
-    ids = stored(blocks[0].select("id").union(groups.select("id")).distinct().select(F.col("id").alias("doc_id")), "candidates")
+    # Size bands by powers of two; a set also enters the band of its largest partner.
+    bands = F.array_distinct(F.expr(f"array(floor(log2(n)), floor(log2(n * {q}L div {p}L)))"))
+    level = classes.select(F.explode(bands).alias("gid"), "id", "n", F.expr(f"least({SPARE}L, ceil({p}L * n / {q}L))").cast("bigint").alias("least"),
+                           F.lit(True).alias("open"), "prefix")
+    pairs, groups = short_lists(level, p, q)
+    pairs, groups = [stored(pairs, "pairs")], stored(groups, "groups")
+    ids = pairs[0].select("a").union(pairs[0].select("b")).union(groups.select("id"))
+    ids = stored(ids.distinct().select(F.col("a").alias("doc_id")), "candidates")
 
     def tokens(batches):
         for batch in batches:
@@ -283,13 +313,13 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     while not groups.isEmpty():
         found, level = differences(groups, sets, known, p, q)
         links.append(stored(found, "near"))
-        more, groups = short_lists(stored(level, "level"))
-        blocks.append(stored(more, "blocks"))
+        more, groups = short_lists(stored(level, "level"), p, q)
+        pairs.append(stored(more, "pairs"))
         groups = stored(groups, "groups")
-    members = blocks[0]
-    for more in blocks[1:]:
-        members = members.union(more)
-    links.append(search_blocks(members.distinct(), sets, p, q))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.union(more)
+    links.append(search_blocks(blocks_of(stored(every.distinct(), "pairs")), sets, p, q))
     # One doc_id with several texts joins their classes.
     links.append(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("class", "id"), "class")
                  .where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b"))
