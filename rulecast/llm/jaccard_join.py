@@ -9,13 +9,14 @@ pair must meet in the others, the short ones. Spark groups the short lists by sh
   a block (pairs whose two sides have the same smallest candidate meet there anyway). In a
   block, for each set, its short lists are heap-merged and the skipped long ones are probed
   by binary search (DivideSkip).
-* A longer list (a large group of near copies, or a very common passage) gets a leader,
-  its smallest id, and each member's difference to the leader. |x ^ y| = |dx| + |dy| -
+* A longer list (a large group of near copies, or a very common passage) gets a centre, the
+  shingles of most of a few members, and each member's difference to it. |x ^ y| = |dx| + |dy| -
   2 |dx & dy|, so with w(x) = (p+q)|dx| - (q-p)|x| two members link exactly if they share
   at least (w(x) + w(y)) / (2(p+q)) differences. Members for which this is at most 0 with
   the member of least w link with it at once. The others must share differences: again
   short inverted lists, of the differences within the group. This repeats until no list
-  is long; as each round's leaders are larger ids than those before, it ends.
+  is long. It ends: what most members looked at have is in the centre, so no list of
+  differences holds them all, and every group is smaller than the one it came from.
 
 So no pair is lost, no list is cut, and a group of n near copies makes about n rows. At the
 first level lists are split by size bands, and prefixes are a few tokens longer than they
@@ -51,6 +52,7 @@ FREQUENT = 2  # times in CHUNK shingles
 KNOWN = 1 << 19  # shingles (6 MB) whose frequency all tasks know
 CHUNK = 2_000_000
 
+LOOKED = 8  # members of a long list that give its centre
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
 _HASHES = WordHashes()
@@ -156,52 +158,80 @@ def divide_skip(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> list[
     return links
 
 
-def search_blocks(members: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (a, b) within blocks: ``members`` (block, id), ``sets`` (id, tokens)."""
+def per_block(members: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
+    """``work(block, ids, token sets)`` -> result columns, for each block of ``members``
+    (block, id) with ``sets`` (id, tokens). Blocks are small; sorted rows are streamed."""
     rows = members.join(sets, "id").select("block", "id", "tokens")
     rows = rows.repartition("block").sortWithinPartitions("block")
 
     def run(batches):
-        block, ids, held, found = None, [], [], []
+        block, ids, held = None, [], []
         for batch in batches:
             blocks, names, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy()
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            done = []
             for i, name in enumerate(blocks):
                 if name != block:
-                    if len(ids) > 1:
-                        found += divide_skip(ids, held, p, q)
+                    if ids:
+                        done.append(work(block, ids, held))
                     block, ids, held = name, [], []
                 ids.append(names[i])
                 held.append(values[offsets[i]:offsets[i + 1]].copy())
-            if len(found) > 10_000:
-                yield pairs(found)
-                found = []
-        if len(ids) > 1:
-            found += divide_skip(ids, held, p, q)
-        yield pairs(found)
+            if done:
+                yield table(done)
+        if ids:
+            yield table([work(block, ids, held)])
+
+    def table(done):
+        columns = [[x for part in done for x in part[c]] for c in (0, 1)]
+        kind = pa.list_(pa.int64()) if "array" in schema else pa.int64()
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], kind)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def search_blocks(members: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) within blocks."""
+
+    def work(_, ids, held):
+        found = divide_skip(ids, held, p, q) if len(ids) > 1 else []
+        return [x for x, _ in found], [y for _, y in found]
+
+    return per_block(members, sets, work, "a bigint, b bigint")
+
+
+def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """gid, lead: the tokens that at least half of about LOOKED members have (the member of
+    smallest id is always looked at)."""
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    draw = F.pmod(F.xxhash64("id", "gid"), F.lit(1_000_000)) * F.col("size") < 1_000_000 * LOOKED
+    some = groups.join(sizes, "gid").where(draw | (F.col("id") == F.col("first"))).select(F.col("gid").alias("block"), "id")
 
-    def pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def work(block, ids, held):
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        return [block], [tokens[2 * counts >= len(held)]]
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return per_block(some, sets, work, "gid bigint, lead array<bigint>")
 
 
 # -- short lists -------------------------------------------------------------
 
 
-def short_lists(rows: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+def short_lists(rows: DataFrame, p: int, q: int, first: bool) -> tuple[DataFrame, DataFrame]:
     """Of ``rows`` (gid, id, n, least, open, prefix): candidate pairs (a, b) that meet in
-    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists, where
-    the new gid is the list's smallest id. A pair that meets in a longer list is searched
-    there. Lists without an open member have nothing to find."""
+    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists. At the
+    ``first`` level lists with the same smallest id are one group, later lists with the same
+    members. A pair that meets in a longer list is searched there. Lists without an open
+    member have nothing to find."""
     about = F.expr("shiftleft(n, 8) + least * 2 + cast(open AS int)").alias("about")
     each = rows.select("gid", "id", about, F.explode("prefix").alias("token")).select(
         F.xxhash64("gid", "token").alias("key"), "id", "about")
-    lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.max(F.col("about") % 2).alias("some"))
+    lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), (
+        F.min("id") if first else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"))
                    .where("size > 1 AND some = 1").drop("some"), "lists")
     met = stored(each.join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
-    long = met.where(F.col("size") > LIST_SIZE).select(F.col("leader").alias("gid"), "id").distinct()
+    long = met.where(F.col("size") > LIST_SIZE).select(F.col("group").alias("gid"), "id").distinct()
     short = met.where(F.col("size") <= LIST_SIZE).groupBy("key").agg(F.collect_set(F.struct("id", "about")).alias("xs"))
     one, two = F.explode("xs"), F.explode("xs")
     pairs = short.select("xs", one.alias("x")).select("x", two.alias("y")).where("x.id < y.id").selectExpr(
@@ -223,8 +253,7 @@ def blocks_of(pairs: DataFrame) -> DataFrame:
 def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     """One round in long lists: links (a, b) with the member of least weight, and the rows
     (gid, id, n, least, open, prefix) of the remaining search."""
-    leaders = sets.select(F.col("id").alias("gid"), F.col("tokens").alias("lead"))
-    both = groups.join(sets, "id").join(leaders, "gid").select("gid", "id", "tokens", "lead")
+    both = groups.join(sets, "id").join(stored(centres(groups, sets), "centres"), "gid").select("gid", "id", "tokens", "lead")
 
     def subtract(batches):
         for batch in batches:
@@ -297,7 +326,7 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     bands = F.array_distinct(F.expr(f"array(floor(log2(n)), floor(log2(n * {q}L div {p}L)))"))
     level = classes.select(F.explode(bands).alias("gid"), "id", "n", F.expr(f"least({SPARE}L, ceil({p}L * n / {q}L))").cast("bigint").alias("least"),
                            F.lit(True).alias("open"), "prefix")
-    pairs, groups = short_lists(level, p, q)
+    pairs, groups = short_lists(level, p, q, True)
     pairs, groups = [stored(pairs, "pairs")], stored(groups, "groups")
     ids = pairs[0].select("a").union(pairs[0].select("b")).union(groups.select("id"))
     ids = stored(ids.distinct().select(F.col("a").alias("doc_id")), "candidates")
@@ -313,7 +342,7 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     while not groups.isEmpty():
         found, level = differences(groups, sets, known, p, q)
         links.append(stored(found, "near"))
-        more, groups = short_lists(stored(level, "level"), p, q)
+        more, groups = short_lists(stored(level, "level"), p, q, False)
         pairs.append(stored(more, "pairs"))
         groups = stored(groups, "groups")
     every = pairs[0]
