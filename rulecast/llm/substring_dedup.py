@@ -24,8 +24,9 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WOR
     """All units and those to remove (d, th, unit, begin, end)."""
     units = stored(text_units(docs, kind, fold=True), "units")
     place = F.struct("d", "th", "unit")
-    firsts = (units.where(F.col("words") >= min_words).groupBy("h1", "h2")
-              .agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    # Stored, so that the join reads two plain shuffles and a very common unit can be split.
+    firsts = stored(units.where(F.col("words") >= min_words).groupBy("h1", "h2")
+                    .agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"), "firsts")
     gone = units.where(F.col("words") >= min_words).join(firsts, ["h1", "h2"]).where(place > F.col("first"))
     return units, stored(gone.select("d", "th", "unit", "begin", "end").distinct(), "gone")
 
