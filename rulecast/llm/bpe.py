@@ -34,6 +34,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Unicode white space, and the word pattern of the vocabulary file.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PY_ONLY_BLANKS = re.compile("[\x1c-\x1f]")
@@ -41,7 +43,7 @@ _BLANK_RUN = re.compile(f"[{BLANKS}]+")
 
 SLICE = 1 << 16  # characters consumed at a time
 PIECE = 256  # longer pieces between blanks are not cached
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 _NO_RULE = 1 << 62
 
 
@@ -284,5 +286,6 @@ def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def _shared(df: DataFrame, path: str):
     """The tokenizer file (a few MB, fixed) as a broadcast: executors need not have it."""
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())

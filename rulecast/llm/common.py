@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulecast.settle import scratch_path
@@ -12,7 +12,9 @@ from rulecast.settle import scratch_path
 #: Ids (8 bytes each) that may be broadcast; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words a worker remembers before it starts its cache anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Rows of an Arrow batch: texts are long, and both sides of the exchange hold a batch.
+BATCH_ROWS = 500
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -54,6 +56,17 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: One cache a worker, for all operators.
+HASHES = WordHashes()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold at most BATCH_ROWS rows (a smaller setting stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back: no lineage is left
     and no executor holds the only copy."""

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -162,6 +164,7 @@ def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def _matcher(docs: DataFrame, benchmark: DataFrame, window: int):
     """A function for workers: text -> (words, hit flags, items)."""
+    small_batches(docs.sparkSession)
     blocks = [(uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in item_blocks(benchmark)]
 
     def match(texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray, set[int]]]:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, keep_ids, shingles, stored
+from .common import HASHES, ascii_words, keep_ids, shingles, small_batches, stored
 from .components import connected_components
 
 LIST_SIZE = 16
@@ -55,11 +55,10 @@ CHUNK = 2_000_000
 LOOKED = 8  # members of a long list that give its centre
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
-_HASHES = WordHashes()
 
 
 def text_shingles(text: str | None, k: int) -> np.ndarray:
-    return shingles(_HASHES.of(ascii_words(text)), k)
+    return shingles(HASHES.of(ascii_words(text)), k)
 
 
 # -- order of the lists ----------------------------------------------------
@@ -300,6 +299,7 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
 def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text): distinct
     ``k``-word shingles, and the smallest doc_id reachable by links of similarity p/q."""
+    small_batches(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id AS bigint) doc_id", "cast(text AS string) text")
     known = frequent_shingles(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast(known)

@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS
+from .common import small_batches
 
 SAMPLE_DOCS = 250
 WINDOW = 24
 HIDDEN = 12
 EMBED = 12
 STEPS, BATCH, RATE = 700, 256, 0.01
-CHUNK_WORDS = 300_000
+CACHE_WORDS = 250_000
+CHUNK_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD = 256
 
@@ -247,6 +248,7 @@ _SCORERS: dict[int, Scorer] = {}
 def identify_languages(docs: DataFrame, allowed: Column, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, lang_pred, score of every whole text. Only rows with ``allowed`` and a
     language are learned from; the language of a row is never input of its prediction."""
+    small_batches(docs.sparkSession)
     languages, net = train(training_sample(docs, allowed, per_language))
     weights = None if net is None else net.p
     name = hash((tuple(languages), b"" if weights is None else weights["o"].tobytes()))

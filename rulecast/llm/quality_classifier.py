@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
+from .common import HASHES, small_batches
 from .decontamination import _TABLE
 
 SAMPLE = 6000
@@ -35,7 +35,6 @@ BUCKETS = 1 << 16
 WORDS = 1500  # buckets a text model uses, those that differ most between classes
 THRESHOLD = 0.5
 
-_HASHES = WordHashes()
 _BLANKS = b" \t\n\x0b\x0c\r"
 _CLASSES = [bytes(range(65, 91)), b"0123456789", b"#*$%&<>", b"|", b"!", b".,;:?", _BLANKS]
 N_STATS = len(_CLASSES) + 4
@@ -48,7 +47,7 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n, size = max(1, len(words)), max(1, len(raw))
     distinct = set(words)
     parts = [*distinct, *{b"^" + w[:5] for w in distinct}]
-    buckets = np.unique((_HASHES.of(parts) & np.uint64(BUCKETS - 1)).astype(np.int32))
+    buckets = np.unique((HASHES.of(parts) & np.uint64(BUCKETS - 1)).astype(np.int32))
     shares = [len(raw) - len(raw.translate(None, c)) for c in _CLASSES]
     lines = [x for x in raw.split(b"\n") if x.strip()]
     stats = [s / size for s in shares] + [np.log1p(len(words)), len(distinct) / n, len(raw) / n / 20, len(set(lines)) / max(1, len(lines))]
@@ -58,7 +57,7 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     """Hashed source and language, and a step function of the length."""
     out = np.zeros(80, np.float32)
-    name = _HASHES.of([f"source {source}".encode(), f"lang {lang}".encode()])
+    name = HASHES.of([f"source {source}".encode(), f"lang {lang}".encode()])
     out[int(name[0] % np.uint64(48))] = 1
     out[48 + int(name[1] % np.uint64(16))] = 1
     out[64 + min(15, int(np.log2(1 + max(0, n_chars or 0))))] = 1
@@ -204,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def score(columns: list) -> list:

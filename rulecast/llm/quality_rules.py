@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 WINDOW = 5  # words of a repeat that counts
 BATCH_WORDS = 400_000  # texts are gathered until they have so many words
 MIN_WORDS = 10
@@ -143,6 +145,7 @@ def judge_texts(texts: list[str | None]) -> list[tuple]:
 def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per document with the counts and verdicts of ``SCHEMA``. ``kept``: not
     base_failed, and no repeat of over LONGEST_WORDS words and LONGEST_SHARE percent."""
+    small_batches(docs.sparkSession)
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 

@@ -166,9 +166,14 @@ def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     moved = placed.where("shard <> old_shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
     if touched:
-        key = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint")
-        where = placed.where(F.col("shard").isin(touched)).select("doc_id", "text_crc32", "shard").distinct()
-        rows = docs.withColumn("text_crc32", key).join(where, ["doc_id", "text_crc32"]).drop("text_crc32")
+        # Rows of equal id and text are told apart by their number, in both tables.
+        crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint")
+        copies = Window.partitionBy("_id", "_crc").orderBy("_crc")
+        id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        rows = docs.withColumn("_id", id_text).withColumn("_crc", crc).withColumn("_copy", F.row_number().over(copies))
+        where = placed.select(id_text.alias("_id"), F.col("text_crc32").alias("_crc"), "shard").withColumn(
+            "_copy", F.row_number().over(copies.orderBy("shard"))).where(F.col("shard").isin(touched))
+        rows = rows.join(where, ["_id", "_crc", "_copy"]).drop("_id", "_crc", "_copy")
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(8))
         rows.repartition("shard", salt).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)

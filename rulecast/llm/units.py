@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 NO_ID = (1 << 63) - 1
 _SPLIT = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 SCHEMA = "d bigint, th bigint, unit int, begin int, end int, words int, h1 bigint, h2 bigint"
@@ -53,6 +55,7 @@ def text_units(docs: DataFrame, kind: str, fold: bool) -> DataFrame:
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    small_batches(docs.sparkSession)
     return keyed(docs.select("doc_id", "text")).select("d", "th", F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
@@ -77,6 +80,7 @@ def without_units(text: str, kind: str, gone: list[int]) -> str:
 def drop_units(docs: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
     """``docs`` without the units (d, th, unit) in ``gone``; documents that lose their last
     unit go. All columns are returned, n_chars follows the text."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     lists = gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("unit")).alias("gone_units"))
     keys = keyed(docs).select("d", "th", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
