@@ -16,7 +16,8 @@ pair must meet in the others, the short ones. Spark groups the short lists by sh
   the member of least w link with it at once. The others must share differences: again
   short inverted lists, of the differences within the group. This repeats until no list
   is long. It ends: what most members looked at have is in the centre, so no list of
-  differences holds them all, and every group is smaller than the one it came from.
+  differences holds them all, and a group of one list is smaller than the one it came from.
+  Every other round takes together the lists with the same smallest member.
 
 So no pair is lost, no list is cut, and a group of n near copies makes about n rows. At the
 first level lists are split by size bands, and prefixes are a few tokens longer than they
@@ -217,19 +218,19 @@ def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
 # -- short lists -------------------------------------------------------------
 
 
-def short_lists(rows: DataFrame, p: int, q: int, first: bool) -> tuple[DataFrame, DataFrame]:
+def short_lists(rows: DataFrame, p: int, q: int, merge: bool, again: bool) -> tuple[DataFrame, DataFrame]:
     """Of ``rows`` (gid, id, n, least, open, prefix): candidate pairs (a, b) that meet in
-    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists. At the
-    ``first`` level lists with the same smallest id are one group, later lists with the same
+    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists. If
+    ``merge``, lists with the same smallest id are one group, else lists with the same
     members. A pair that meets in a longer list is searched there. Lists without an open
     member have nothing to find."""
     about = F.expr("shiftleft(n, 8) + least * 2 + cast(open AS int)").alias("about")
     each = rows.select("gid", "id", about, F.explode("prefix").alias("token")).select(
-        F.xxhash64("gid", "token").alias("key"), "id", "about")
+        F.xxhash64("gid", "token").alias("key"), "id", "about", *(["gid"] if again else []))
     lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), (
-        F.min("id") if first else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"))
+        (F.xxhash64(F.min("gid"), F.min("id")) if again else F.min("id")) if merge else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"))
                    .where("size > 1 AND some = 1").drop("some"), "lists")
-    met = stored(each.join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
+    met = stored(each.select("key", "id", "about").join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
     long = met.where(F.col("size") > LIST_SIZE).select(F.col("group").alias("gid"), "id").distinct()
     short = met.where(F.col("size") <= LIST_SIZE).groupBy("key").agg(F.collect_set(F.struct("id", "about")).alias("xs"))
     one, two = F.explode("xs"), F.explode("xs")
@@ -267,9 +268,12 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
                 names=["gid", "id", "n", "w", "delta"])
 
     members = stored(both.mapInArrow(subtract, "gid bigint, id bigint, n bigint, w bigint, delta array<bigint>"), "differences")
-    nearest = members.groupBy("gid").agg(F.min(F.struct("w", "id")).alias("near"))
-    members = members.join(nearest, "gid").select(
-        "gid", "id", "n", "w", "delta", F.col("near.w").alias("least"), F.col("near.id").alias("near")).withColumn("open", F.expr("w + least > 0"))
+    nearest = stored(members.groupBy("gid").agg(F.min(F.struct("w", "id")).alias("near"), F.max("w").alias("most")), "nearest")
+    few = F.broadcast if nearest.count() <= LISTS_SENT else lambda x: x
+    # Groups without an open member are done when they are linked.
+    members = members.join(few(nearest), "gid").withColumn("some", F.expr("most + near.w > 0"))
+    members = members.select(
+        "gid", "id", "n", "w", "delta", "some", F.col("near.w").alias("least"), F.col("near.id").alias("near")).withColumn("open", F.expr("w + least > 0"))
     links = members.where("NOT open AND id <> near").select(F.col("id").alias("a"), F.col("near").alias("b"))
     shared = groups.sparkSession.sparkContext.broadcast(known)
 
@@ -286,9 +290,7 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
                 [batch.column("gid"), batch.column("id"), batch.column("n"), pa.array([1] * len(out), pa.int64()), batch.column("open"), pa.array(out, pa.list_(pa.int64()))],
                 names=["gid", "id", "n", "least", "open", "prefix"])
 
-    # Groups without an open member are done.
-    work = members.groupBy("gid").agg(F.max("open").alias("some")).where("some").select("gid")
-    rows = members.join(work, "gid", "left_semi").mapInArrow(
+    rows = members.where("some").drop("some").mapInArrow(
         prefixes, "gid bigint, id bigint, n bigint, least bigint, open boolean, prefix array<bigint>")
     return links, rows
 
@@ -326,7 +328,7 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     bands = F.array_distinct(F.expr(f"array(floor(log2(n)), floor(log2(n * {q}L div {p}L)))"))
     level = classes.select(F.explode(bands).alias("gid"), "id", "n", F.expr(f"least({SPARE}L, ceil({p}L * n / {q}L))").cast("bigint").alias("least"),
                            F.lit(True).alias("open"), "prefix")
-    pairs, groups = short_lists(level, p, q, True)
+    pairs, groups = short_lists(level, p, q, merge=True, again=False)
     pairs, groups = [stored(pairs, "pairs")], stored(groups, "groups")
     ids = pairs[0].select("a").union(pairs[0].select("b")).union(groups.select("id"))
     ids = stored(ids.distinct().select(F.col("a").alias("doc_id")), "candidates")
@@ -342,7 +344,7 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     while not groups.isEmpty():
         found, level = differences(groups, sets, known, p, q)
         links.append(stored(found, "near"))
-        more, groups = short_lists(stored(level, "level"), p, q, False)
+        more, groups = short_lists(stored(level, "level"), p, q, merge=len(links) % 2 == 1, again=True)
         pairs.append(stored(more, "pairs"))
         groups = stored(groups, "groups")
     every = pairs[0]
