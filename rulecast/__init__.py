@@ -43,6 +43,7 @@ from .operators.series import (
     filter_series,
     find_series,
     index_series,
+    model_keys,
     series_keys,
     series_range,
     series_sizes,

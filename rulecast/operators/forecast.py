@@ -225,8 +225,8 @@ def price_from_rate(forecast: DataFrame, rate_divisor: float = 100.0, keep_head:
     return forecast.where("t >= 2").selectExpr("*", f"{price} as price_hat")
 
 
-def rmse(priced: DataFrame) -> DataFrame:
+def rmse(priced: DataFrame, least: int = 1) -> DataFrame:
     """``(key, ids, rmse)`` over the rows of a priced forecast; with the head
-    kept, its exact rows count in the denominator."""
-    error = F.expr("sqrt(avg((price_hat - actual) * (price_hat - actual)))")
+    kept, its exact rows count in the denominator. NULL for fewer than ``least`` rows."""
+    error = F.expr(f"if(count(*) >= {least}, sqrt(avg((price_hat - actual) * (price_hat - actual))), null)")
     return priced.groupBy("key", *model_ids(priced)).agg(error.alias("rmse"))

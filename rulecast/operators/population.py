@@ -22,8 +22,8 @@ from .rules import Sets, cut_columns
 
 #: Tournament pairs are redrawn at most this often until the parents differ.
 ATTEMPTS = 8
-#: Fitness is compared at this precision, so that the order does not depend on
-#: the order in which squared errors were summed.
+#: Fitness is compared at so many significant digits, so that the order depends neither
+#: on the order in which squared errors were summed nor on the scale of the prices.
 FITNESS_DIGITS = 9
 
 
@@ -91,7 +91,7 @@ def init_population(ranges: DataFrame, search: Search, variables: int) -> DataFr
 
 
 #: Comparable fitness; an undefined one ranks last.
-_RANKED = f"coalesce(round(fitness, {FITNESS_DIGITS}), double('Infinity'))"
+_RANKED = f"if(fitness is null, double('Infinity'), double(format_string('%.{FITNESS_DIGITS - 1}e', fitness)))"
 
 
 def select_elite(scored: DataFrame, elite: int) -> DataFrame:

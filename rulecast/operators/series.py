@@ -91,6 +91,11 @@ def series_keys(series: DataFrame) -> DataFrame:
     return series.where(F.col("i") == 0).select("key")
 
 
+def model_keys(models: DataFrame) -> DataFrame:
+    """The keys of a model table, which may hold several models a key."""
+    return models.select("key").distinct()
+
+
 def find_series(series: DataFrame, key: str) -> DataFrame:
     """All rows of one series (a plain filter, pushed to the scan)."""
     return series.where(F.col("key") == key)

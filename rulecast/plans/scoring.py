@@ -22,7 +22,8 @@ def score_models(
     align_test: bool = False,
 ) -> DataFrame:
     """``(key, model, rmse)``: rules of each model are mined from ``train`` and
-    forecast ``test``; keys missing in any of the three tables drop out.
+    forecast ``test``; keys missing in any of the three tables drop out. A test series of
+    one point has nothing to forecast: its rmse is NULL and counts in no mean.
 
     ``train`` and ``test`` are indexed series. They are read more than once, so
     pass written or settled tables rather than long plans.
@@ -36,7 +37,7 @@ def score_models(
         forecast_steps(test, layout, aligned=align_test), first_moves(test, sets),
         counts, known, terms, layout, sets, consequent=consequent,
     )
-    return rmse(price_from_rate(forecast, rate_divisor, keep_head=True))
+    return rmse(price_from_rate(forecast, rate_divisor, keep_head=True), least=2)
 
 
 def mean_score(scores: DataFrame) -> DataFrame:

@@ -92,11 +92,12 @@ def fit_cuts(
         scored = evaluate_steps(steps, moves, population, layout, search.sets, strategy, **options)
         if gen < search.generations:  # offspring of the last one would not be looked at
             population = settle(next_generation(scored, search, gen))
-    return select_elite(scored, 1).select(
+    # settled, as scoring reads a model table several times
+    return settle(select_elite(scored, 1).select(
         "key", "model", *cut_columns(scored), "fitness",
         F.lit(search.sets.price).alias("max_price_set"),
         F.lit(search.sets.item).alias("max_item_set"),
-    )
+    ))
 
 
 def train_series(

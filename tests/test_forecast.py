@@ -154,6 +154,10 @@ def test_two_point_test_series(spark, tables):
     models = model_table(spark, ["a"])
     test = table(spark, {"a": TEST["two"]})
     assert [r["rmse"] for r in scoring.score_models(train, test, models, WHOLE).collect()] == [0.0, 0.0]
+    one = table(spark, {"a": [v[:1] for v in TEST["two"]]})
+    scores = scoring.score_models(train, one, models, WHOLE)
+    assert [r["rmse"] for r in scores.collect()] == [None, None]
+    assert scoring.mean_score(scores).first()["rmse"] is None
 
 
 def test_forecast_by_variable(spark, tables):

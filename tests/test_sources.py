@@ -53,3 +53,20 @@ def test_written_files_read_back(spark, folder, tmp_path):
     )
     again = src.read_observations(spark, target)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_malformed_lines_stop_any_choice_of_columns(spark, folder):
+    (folder / "ACME" / "bad.txt").write_text("2014/1/2\tx\t2\t3\t4\t5\n")
+    df = src.read_observations(spark, str(folder))
+    for action in (lambda: df.select("symbol", "price").collect(), df.count):
+        with pytest.raises(Exception, match="malformed line"):
+            action()
+
+
+def test_folders_and_stray_files(spark, tmp_path):
+    for name in ("x=B", "y=B", "folder=C"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.txt").write_text("2014/1/2\t1\t2\t3\t4\t5\n")
+    (tmp_path / "stray.txt").write_text("2014/1/2\t1\t2\t3\t4\t5\n")
+    rows = src.read_observations(spark, str(tmp_path)).collect()
+    assert sorted(r["symbol"] for r in rows) == ["C/2014", "x=B/2014", "y=B/2014"]

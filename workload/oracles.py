@@ -173,9 +173,9 @@ def with_head(name, priced, series, pop) -> str:
     )
 
 
-def rmse(name, priced) -> str:
+def rmse(name, priced, least=1) -> str:
     return (
-        f"{name} AS (SELECT {WHO}, sqrt(avg((price_hat - actual) * (price_hat - actual))) AS rmse"
+        f"{name} AS (SELECT {WHO}, CASE WHEN count(*) >= {least} THEN sqrt(avg((price_hat - actual) * (price_hat - actual))) END AS rmse"
         f" FROM {priced} GROUP BY {WHO})"
     )
 
@@ -189,7 +189,7 @@ def evaluated(n, pop) -> list[str]:
         prices(f"price{n}", f"fc{n}", "train"),
         rmse(f"rmse{n}", f"price{n}"),
         f"fit{n} AS (SELECT {WHO}, rmse AS fitness FROM rmse{n})",
-        f"rank{n} AS (SELECT *, row_number() OVER (PARTITION BY key, model ORDER BY round(fitness, 9), ind) - 1"
+        f"rank{n} AS (SELECT *, row_number() OVER (PARTITION BY key, model ORDER BY CAST(printf('%.8e', fitness) AS DOUBLE), ind) - 1"
         f" AS rank FROM fit{n})",
     ]
 
@@ -211,7 +211,7 @@ def couples(n, search, gen) -> list[str]:
         )
     return out + [
         f"w{n} AS (SELECT key, model, pair, side, attempt, ind,"
-        " row_number() OVER (PARTITION BY key, model, pair, side, attempt ORDER BY round(fitness, 9), pos) AS place"
+        " row_number() OVER (PARTITION BY key, model, pair, side, attempt ORDER BY CAST(printf('%.8e', fitness) AS DOUBLE), pos) AS place"
         f" FROM (SELECT * EXCLUDE (drawn, rest), unnest(drawn) AS ind, generate_subscripts(drawn, 1) AS pos"
         f" FROM t{n}_{search.tournament}) JOIN fit{n} USING (key, model, ind))",
         f"d{n} AS (SELECT key, model, pair, attempt,"
@@ -365,7 +365,7 @@ def _scores(select, how="by_position", aligned=False, divisor="100") -> str:
     return query(
         [
             *_model_forecast(MULTIORDER, how, RANDOM, aligned), prices("priced", "fc", "test", divisor),
-            with_head("shown", "priced", "test", "models"), rmse("scores", "shown"),
+            with_head("shown", "priced", "test", "models"), rmse("scores", "shown", 2),
             "means AS (SELECT key, avg(rmse) AS rmse FROM scores GROUP BY key)",
         ],
         select,
@@ -405,6 +405,7 @@ ORACLES: dict[str, str] = {
     "series_stats": query(WHOLE, f"SELECT key, count(*) AS n, {STATS} FROM series GROUP BY key"),
     "change_rate": query([*WHOLE, rates("series")], "SELECT key, i, round(rate, 9) AS rate FROM series_rate"),
     "init_cuts_uniform": query([*TRAIN, *ranges("train"), *population(UNIFORM)], listed("pop0")),
+    "model_keys": query([*TRAIN, *ranges("train"), *population(RANDOM)], "SELECT DISTINCT key FROM pop0"),
     "init_cuts_random": query([*TRAIN, *ranges("train"), *population(RANDOM)], listed("pop0")),
     "discretize": query(LABELS, f"SELECT {ID}, var::INTEGER AS var, i, a AS label FROM un_a"),
     "align_covariates": query(

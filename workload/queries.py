@@ -109,6 +109,10 @@ def _series_keys(spark, sf_dir):
     return se.series_keys(whole(spark, sf_dir)[0])
 
 
+def _model_keys(spark, sf_dir):
+    return se.model_keys(_init(RANDOM, po.init_cuts_random, spark, sf_dir))
+
+
 def _find_series(spark, sf_dir):
     return se.find_series(whole(spark, sf_dir)[0], "1/1998")
 
@@ -203,7 +207,7 @@ def _forecast(operator, spark, sf_dir, **options):
     train, test, layout = parts(spark, sf_dir)
     models = models_for(train, layout, UNIFORM)
     # used on both sides of the forecast, from one table
-    rules = ru.mine_all_rules(train, models, layout)
+    rules = settle(ru.mine_all_rules(train, models, layout))
     return operator(test, rules, models, layout=layout, **options)
 
 
@@ -377,6 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_stats": _series_stats,
     "change_rate": _change_rate,
     "init_cuts_uniform": partial(_init, UNIFORM, po.init_cuts_uniform),
+    "model_keys": _model_keys,
     "init_cuts_random": partial(_init, RANDOM, po.init_cuts_random),
     "discretize": _discretize,
     "align_covariates": _align_covariates,
