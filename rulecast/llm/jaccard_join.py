@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -52,11 +53,12 @@ FREQUENT = 2  # times in CHUNK shingles
 KNOWN = 1 << 19  # shingles (6 MB) whose frequency all tasks know
 CHUNK = 2_000_000
 
+BLOCK_SIZE = 100  # classes that DivideSkip takes in one block,
+BLOCK_TOKENS = 1_000_000  # and their shingles; larger groups get a centre first
 LOOKED = 8  # members of a long list that give its centre
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
 
-
 def text_shingles(text: str | None, k: int) -> np.ndarray:
     return shingles(HASHES.of(ascii_words(text)), k)
 
@@ -218,19 +220,22 @@ def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def short_lists(rows: DataFrame, p: int, q: int, first: bool) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (gid, id, n, least, open, prefix): candidate pairs (a, b) that meet in
-    enough lists of up to LIST_SIZE classes, and members (gid, id) of longer lists. At the
-    ``first`` level lists with the same smallest id are one group, later lists with the same
-    members. A pair that meets in a longer list is searched there. Lists without an open
-    member have nothing to find."""
+    """Of ``rows`` (gid, id, n, least, open, component, prefix): candidate pairs (a, b) that
+    meet in enough lists of up to LIST_SIZE classes, and members (gid, id, n) of longer lists.
+    At the ``first`` level lists with the same smallest id are one group, later lists with
+    the same members. A pair that meets in a longer list is searched there. Lists without an
+    open member, or of one component, have nothing to find."""
     about = F.expr("shiftleft(n, 8) + least * 2 + cast(open AS int)").alias("about")
-    each = rows.select("gid", "id", about, F.explode("prefix").alias("token")).select(
-        F.xxhash64("gid", "token").alias("key"), "id", "about")
+    each = rows.select("gid", "id", about, "component", F.explode("prefix").alias("token")).select(
+        F.xxhash64("gid", "token").alias("key"), "id", "about", "component")
     lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), (
-        F.min("id") if first else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"))
-                   .where("size > 1 AND some = 1").drop("some"), "lists")
+        F.min("id") if first else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"),
+                     F.min("component").alias("lo"), F.max("component").alias("hi"))
+                   .where("size > 1 AND some = 1 AND lo < hi").drop("some", "lo", "hi"), "lists")
+    each = each.drop("component")
     met = stored(each.join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
-    long = met.where(F.col("size") > LIST_SIZE).select(F.col("group").alias("gid"), "id").distinct()
+    long = met.where(F.col("size") > LIST_SIZE).select(
+        F.col("group").alias("gid"), "id", F.expr("shiftright(about, 8)").alias("n")).distinct()
     short = met.where(F.col("size") <= LIST_SIZE).groupBy("key").agg(F.collect_set(F.struct("id", "about")).alias("xs"))
     one, two = F.explode("xs"), F.explode("xs")
     pairs = short.select("xs", one.alias("x")).select("x", two.alias("y")).where("x.id < y.id").selectExpr(
@@ -251,8 +256,8 @@ def blocks_of(pairs: DataFrame) -> DataFrame:
 
 def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     """One round in long lists: links (a, b) with the member of least weight, and the rows
-    (gid, id, n, least, open, prefix) of the remaining search."""
-    both = groups.join(sets, "id").join(stored(centres(groups, sets), "centres"), "gid").select("gid", "id", "tokens", "lead")
+    (gid, id, n, w, least, open, delta) of the remaining search."""
+    both = groups.select("gid", "id").join(sets, "id").join(stored(centres(groups, sets), "centres"), "gid").select("gid", "id", "tokens", "lead")
 
     def subtract(batches):
         for batch in batches:
@@ -267,11 +272,31 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
                 names=["gid", "id", "n", "w", "delta"])
 
     members = stored(both.mapInArrow(subtract, "gid bigint, id bigint, n bigint, w bigint, delta array<bigint>"), "differences")
-    nearest = members.groupBy("gid").agg(F.min(F.struct("w", "id")).alias("near"))
-    members = members.join(nearest, "gid").select(
-        "gid", "id", "n", "w", "delta", F.col("near.w").alias("least"), F.col("near.id").alias("near")).withColumn("open", F.expr("w + least > 0"))
-    links = members.where("NOT open AND id <> near").select(F.col("id").alias("a"), F.col("near").alias("b"))
-    shared = groups.sparkSession.sparkContext.broadcast(known)
+    nearest = members.groupBy("gid").agg(F.min(F.struct("w", "id", "delta")).alias("near"))
+    members = members.join(nearest, "gid").withColumn("open", F.expr("w + near.w > 0"))
+    shared = F.expr(f"{2 * (p + q)}L * size(array_intersect(delta, near.delta)) >= w + near.w")
+    links = members.where(F.col("id") != F.col("near.id")).where(~F.col("open") | shared)
+    return links.select(F.col("id").alias("a"), F.col("near.id").alias("b")), members.select(
+        "gid", "id", "n", "w", F.col("near.w").alias("least"), "open", "delta")
+
+
+def in_parts(groups: DataFrame, labels: DataFrame, *some: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``groups`` (gid, id, n, ...) those with several components in ``labels`` (an id
+    without one is its own) and a row with each of ``some``: the small ones as members
+    (block, id), and the rows of the others, with their component."""
+    named = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = named.groupBy("gid").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("component").alias("lo"),
+                                     F.max("component").alias("hi"), *[F.max(c).alias(c) for c in some])
+    apart = apart.where(" AND ".join(["lo < hi", *some])).select(
+        "gid", F.expr(f"size <= {BLOCK_SIZE} AND tokens <= {BLOCK_TOKENS}").alias("small"))
+    named = stored(named.join(apart, "gid"), "parts")
+    return named.where("small").select(F.col("gid").alias("block"), "id"), named.where("NOT small").drop("small")
+
+
+def prefixes_of(members: DataFrame, known, p: int, q: int) -> DataFrame:
+    """Rows for ``short_lists``: of each member's differences the rare ones that it must have
+    in common with a partner."""
+    shared = members.sparkSession.sparkContext.broadcast(known)
 
     def prefixes(batches):
         for batch in batches:
@@ -283,14 +308,12 @@ def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tu
                 shortest = -(-need // (2 * (p + q)))  # differences that such a pair shares at least
                 out.append(in_list_order(d, shared.value)[:max(0, len(d) + 1 - shortest)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("gid"), batch.column("id"), batch.column("n"), pa.array([1] * len(out), pa.int64()), batch.column("open"), pa.array(out, pa.list_(pa.int64()))],
-                names=["gid", "id", "n", "least", "open", "prefix"])
+                [*(batch.column(c) for c in ("gid", "id", "n")), pa.array([1] * len(out), pa.int64()), batch.column("open"),
+                 batch.column("component"), pa.array(out, pa.list_(pa.int64()))],
+                names=["gid", "id", "n", "least", "open", "component", "prefix"])
 
-    # Groups without an open member are done.
-    work = members.groupBy("gid").agg(F.max("open").alias("some")).where("some").select("gid")
-    rows = members.join(work, "gid", "left_semi").mapInArrow(
-        prefixes, "gid bigint, id bigint, n bigint, least bigint, open boolean, prefix array<bigint>")
-    return links, rows
+    return members.mapInArrow(
+        prefixes, "gid bigint, id bigint, n bigint, least bigint, open boolean, component bigint, prefix array<bigint>")
 
 
 # -- the join ------------------------------------------------------------------
@@ -325,7 +348,7 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     # Size bands by powers of two; a set also enters the band of its largest partner.
     bands = F.array_distinct(F.expr(f"array(floor(log2(n)), floor(log2(n * {q}L div {p}L)))"))
     level = classes.select(F.explode(bands).alias("gid"), "id", "n", F.expr(f"least({SPARE}L, ceil({p}L * n / {q}L))").cast("bigint").alias("least"),
-                           F.lit(True).alias("open"), "prefix")
+                           F.lit(True).alias("open"), F.col("id").alias("component"), "prefix")
     pairs, groups = short_lists(level, p, q, True)
     pairs, groups = [stored(pairs, "pairs")], stored(groups, "groups")
     ids = pairs[0].select("a").union(pairs[0].select("b")).union(groups.select("id"))
@@ -338,24 +361,27 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
                 names=["id", "tokens"])
 
     sets = stored(keep_ids(docs, ids).mapInArrow(tokens, "id bigint, tokens array<bigint>"), "tokens")
-    links = []
+    links, blocks, labels = [], [], None
     while not groups.isEmpty():
-        found, level = differences(groups, sets, known, p, q)
-        links.append(stored(found, "near"))
-        more, groups = short_lists(stored(level, "level"), p, q, False)
+        found, members = differences(groups, sets, known, p, q)
+        links.append(stored(found.distinct(), "near"))
+        labels = connected_components(reduce(DataFrame.union, links))
+        small, members = in_parts(members, labels, "open")
+        more, groups = short_lists(stored(prefixes_of(members, known, p, q), "level"), p, q, False)
         pairs.append(stored(more, "pairs"))
-        groups = stored(groups, "groups")
-    every = pairs[0]
-    for more in pairs[1:]:
-        every = every.union(more)
-    links.append(search_blocks(blocks_of(stored(every.distinct(), "pairs")), sets, p, q))
+        less, groups = in_parts(groups, labels)
+        blocks += [small, less]
+    every = reduce(DataFrame.union, pairs).distinct()
+    if labels is not None:
+        at = [labels.select(F.col("id").alias(c), F.col("component").alias("of_" + c)) for c in "ab"]
+        every = every.join(at[0], "a", "left").join(at[1], "b", "left").where(
+            "coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    # Blocks of pairs have the number of a document, those of groups a hash; one number for two is a larger block.
+    links.append(search_blocks(stored(reduce(DataFrame.union, [blocks_of(stored(every, "pairs")), *blocks]), "blocks"), sets, p, q))
     # One doc_id with several texts joins their classes.
     links.append(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("class", "id"), "class")
                  .where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    joined = connected_components(stored(every.distinct(), "links"))
+    joined = connected_components(stored(reduce(DataFrame.union, links).distinct(), "links"))
     labels = classes.select("class", "id").join(joined, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     return rows.join(labels, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
