@@ -55,6 +55,7 @@ CHUNK = 2_000_000
 
 BLOCK_SIZE = 100  # classes that DivideSkip takes in one block,
 BLOCK_TOKENS = 1_000_000  # and their shingles; larger groups get a centre first
+MERGED_SIZE = 1000  # classes of a block that several overlapping ones are merged into
 LOOKED = 8  # members of a long list that give its centre
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
@@ -290,7 +291,20 @@ def in_parts(groups: DataFrame, labels: DataFrame, *some: str) -> tuple[DataFram
     apart = apart.where(" AND ".join(["lo < hi", *some])).select(
         "gid", F.expr(f"size <= {BLOCK_SIZE} AND tokens <= {BLOCK_TOKENS}").alias("small"))
     named = stored(named.join(apart, "gid"), "parts")
-    return named.where("small").select(F.col("gid").alias("block"), "id"), named.where("NOT small").drop("small")
+    return named.where("small").select(F.col("gid").alias("block"), "id", "n"), named.where("NOT small").drop("small")
+
+
+def merged_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (block, id, n) as (block, id), those with the same smallest member as one
+    block unless that is too large: then they stay as they are. Pairs that meet still do,
+    and a pair that meets in many overlapping blocks is searched once."""
+    lowest = blocks.groupBy("block").agg(F.min("id").alias("lo"))
+    marked = stored(blocks.join(lowest, "block").distinct(), "marked")
+    union = marked.select("lo", "id", "n").distinct()
+    fit = stored(union.groupBy("lo").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+                 .where(f"size <= {MERGED_SIZE} AND tokens <= {BLOCK_TOKENS}").select("lo"), "merged")
+    return union.join(fit, "lo", "left_semi").select(F.col("lo").alias("block"), "id").union(
+        marked.join(fit, "lo", "left_anti").select("block", "id"))
 
 
 def prefixes_of(members: DataFrame, known, p: int, q: int) -> DataFrame:
@@ -376,8 +390,11 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
         at = [labels.select(F.col("id").alias(c), F.col("component").alias("of_" + c)) for c in "ab"]
         every = every.join(at[0], "a", "left").join(at[1], "b", "left").where(
             "coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    # Blocks of pairs have the number of a document, those of groups a hash; one number for two is a larger block.
-    links.append(search_blocks(stored(reduce(DataFrame.union, [blocks_of(stored(every, "pairs")), *blocks]), "blocks"), sets, p, q))
+    # One number for a block of pairs and one of groups makes a larger block.
+    members = blocks_of(stored(every, "pairs"))
+    if blocks:
+        members = members.union(merged_blocks(reduce(DataFrame.union, blocks)))
+    links.append(search_blocks(stored(members.distinct(), "blocks"), sets, p, q))
     # One doc_id with several texts joins their classes.
     links.append(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("class", "id"), "class")
                  .where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b"))
