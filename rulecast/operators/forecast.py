@@ -7,8 +7,6 @@ only looks its antecedents up and pools what it finds.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +24,9 @@ from .rules import (
 )
 from .series import change_rate
 
-#: Up to this radix a model's book is one bounded row of maps; above it the
+#: Up to so many possible antecedents a model's book is one row of maps; above it the
 #: lookup is a join on the antecedent.
-MAP_RADIX = 16
+MAP_ENTRIES = 50_000
 
 #: How much a rule counts for midpoint j, F being the price labels of the series
 #: that is forecast: ``by_position`` takes the count of consequent F[j] if label
@@ -104,11 +102,12 @@ def forecast_terms(
     consequent: str = "by_position",
     edge: float = EDGE_OFFSET,
     lookup: str = "auto",
+    by_variable: bool = False,
 ) -> DataFrame:
-    """``(key, ids, t, base, actual, rate)`` for every step. ``rate`` pools the
-    rules of all ``terms``, whose ``counts`` have the same slots; without a
-    matching rule it is 0, and it is NULL for the first two positions, which have
-    no rate before them."""
+    """``(key, ids, [var,] t, base, actual, rate)`` for every step. ``rate`` pools the
+    rules of all ``terms`` (or those of each variable), whose ``counts`` have the same
+    slots; without a matching rule it is 0, and it is NULL for the first two positions,
+    which have no rate before them."""
     ids = model_ids(models)
     sound = checked_models(models, sets)
     if not terms:  # no covariates: nothing to look up, the price stays
@@ -117,15 +116,16 @@ def forecast_terms(
             "key", *ids, "t", "base", "actual", "if(t >= 2, 0D, null) as rate"
         )
     book = rule_book(counts, models, moves, sets, consequent, edge)
-    by_map = lookup == "map" or (lookup == "auto" and sets.radix <= MAP_RADIX)
+    entries = sum(sets.radix**order for _, order in terms)
+    by_map = lookup == "map" or (lookup == "auto" and entries <= MAP_ENTRIES)
     pooled = _pool_by_map if by_map else _pool_by_join
-    found = pooled(steps, book, sound, terms, layout, sets)
+    found = pooled(steps, book, sound, terms, layout, sets, by_variable)
     return found.selectExpr(
-        "key", *ids, "t", "base", "actual", "if(t >= 2, if(d > 0, u / d, 0D), null) as rate"
+        "key", *ids, *(["var"] if by_variable else []), "t", "base", "actual", "if(t >= 2, if(d > 0, u / d, 0D), null) as rate"
     )
 
 
-def _pool_by_map(steps, book, models, terms, layout, sets) -> DataFrame:
+def _pool_by_map(steps, book, models, terms, layout, sets, by_variable) -> DataFrame:
     ids = model_ids(models)
     slots = range(len(terms))
     # the maps are made before the join, once per model and not per step
@@ -148,13 +148,19 @@ def _pool_by_map(steps, book, models, terms, layout, sets) -> DataFrame:
         extra=tuple(f"m{s}" for s in slots),
     )
     kept = ["key", *ids, "t", "base", "actual"]
-    up, down = (" + ".join(f"coalesce(h{s}.{x}, 0D)" for s in slots) for x in ("u", "d"))
-    return labelled.selectExpr(
-        *kept, *[f"try_element_at(m{s}, codes[{s}]) as h{s}" for s in slots]
-    ).selectExpr(*kept, f"{up} as u", f"{down} as d")
+
+    def total(x: str, some) -> str:
+        return " + ".join(f"coalesce(h{s}.{x}, 0D)" for s in some) + f" as {x}"
+
+    hits = labelled.selectExpr(*kept, *[f"try_element_at(m{s}, codes[{s}]) as h{s}" for s in slots])
+    if not by_variable:
+        return hits.selectExpr(*kept, total("u", slots), total("d", slots))
+    own = {k: [s for s in slots if terms[s][0] == k] for k, _ in terms}
+    sums = ", ".join(f"struct({k} as var, {total('u', some)}, {total('d', some)})" for k, some in own.items())
+    return hits.selectExpr(*kept, f"inline(array({sums}))")
 
 
-def _pool_by_join(steps, book, models, terms, layout, sets) -> DataFrame:
+def _pool_by_join(steps, book, models, terms, layout, sets, by_variable) -> DataFrame:
     ids = model_ids(models)
     keys = [*layout.cell, *ids]
     entries = per_cell(book, steps, layout)
@@ -163,7 +169,8 @@ def _pool_by_join(steps, book, models, terms, layout, sets) -> DataFrame:
     )
     return (
         asked.join(entries, [*keys, "slot", "code"], "left")
-        .groupBy(*keys, "t", "base", "actual")
+        .withColumn("var", F.expr(f"array({', '.join(str(k) for k, _ in terms)})[slot]"))
+        .groupBy(*keys, *(["var"] if by_variable else []), "t", "base", "actual")
         .agg(F.expr("coalesce(sum(u), 0D)").alias("u"), F.expr("coalesce(sum(d), 0D)").alias("d"))
     )
 
@@ -201,19 +208,12 @@ def forecast_uni(series, rules, models, layout=SeriesLayout(), sets=Sets(), **op
 def forecast_by_variable(
     series, rules, models, aligned=False, layout=SeriesLayout(), sets=Sets(), **options
 ) -> DataFrame:
-    """The multi-order forecast of each covariate on its own: ``(key, ids, var,
-    t, base, actual, rate)``."""
+    """The multi-order forecast of each covariate on its own, in one pass: ``(key, ids,
+    var, t, base, actual, rate)``."""
     terms = covariate_terms(models)
-    steps = forecast_steps(series, layout, aligned)
-    moves = first_moves(series, sets)
-    ids = model_ids(models)
-    parts = []
-    for k in sorted({k for k, _ in terms}):
-        own = [term for term in terms if term[0] == k]
-        counts = rule_counts(rules, own, sets)
-        one = forecast_terms(steps, moves, counts, models, own, layout, sets, **options)
-        parts.append(one.select("key", *ids, F.lit(k).alias("var"), "t", "base", "actual", "rate"))
-    return reduce(DataFrame.unionByName, parts)
+    if not terms:
+        raise ValueError("the models have no covariates")
+    return _forecast_series(series, rules, models, terms, aligned, layout, sets, by_variable=True, **options)
 
 
 def price_from_rate(forecast: DataFrame, rate_divisor: float = 100.0, keep_head: bool = False) -> DataFrame:

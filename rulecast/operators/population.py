@@ -11,6 +11,7 @@ the indices below ``elite`` in the next generation and are left alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ from ..functions.draws import draw
 from ..settle import spread
 from .rules import Sets, cut_columns
 
-#: Tournament pairs are redrawn at most this often until the parents differ.
-ATTEMPTS = 8
 #: Fitness is compared at so many significant digits, so that the order depends neither
 #: on the order in which squared errors were summed nor on the scale of the prices.
 FITNESS_DIGITS = 9
@@ -112,43 +111,43 @@ def _pools(scored: DataFrame) -> DataFrame:
     )
 
 
-def _tournament(size: int, draw_at) -> str:
-    """Positions of winner and runner-up among ``size`` members of ``pool`` drawn
-    without replacement; equal fitness goes to the earlier draw."""
-    pick = iv.once(
-        f"int(floor({draw_at('n')} * size(s.left)))", "at",
-        "named_struct('left', filter(s.left, (x, i) -> i <> at), "
-        "'drawn', array_append(s.drawn, get(s.left, at)))",
+def _chances(search: Search) -> str:
+    """Per member of ``pool`` its chance to win one tournament. With k of n members drawn
+    without replacement, the winner has rank r or worse in C(n-r, k) of C(n, k) cases;
+    members of equal fitness share the chances of their ranks."""
+    n, k = search.population, search.tournament
+    from_rank = ", ".join(f"{comb(n - r, k) / comb(n, k)!r}D" for r in range(n + 1))
+    ranks = (
+        "struct(size(filter(pool, x -> x.fit < m.fit)) as better, "
+        "size(filter(pool, x -> x.fit = m.fit)) as equal)"
     )
-    drawn = (
-        f"aggregate(sequence(0, {size - 1}), "
-        "named_struct('left', transform(pool, (x, i) -> i), 'drawn', cast(array() as array<int>)), "
-        f"(s, n) -> {pick}, s -> s.drawn)"
-    )
-    placed = f"array_sort(transform({drawn}, (p, n) -> struct(get(pool.fit, p) as fit, n as n, p as p)))"
-    return f"transform(slice({placed}, 1, 2), x -> x.p)"
+    share = f"(get(array({from_rank}), z.better) - get(array({from_rank}), z.better + z.equal)) / z.equal"
+    return f"transform(pool, m -> {iv.once(ranks, 'z', share)})"
+
+
+def _reach(weights: str) -> str:
+    """0 and the running sums of ``weights``."""
+    return f"aggregate({weights}, array(0D), (s, x) -> array_append(s, element_at(s, -1) + x))"
+
+
+def _hit(reach: str, spot: str) -> str:
+    """Position of the member into whose part of ``reach`` the ``spot`` falls."""
+    return iv.once(spot, "spot", f"size(filter({reach}, r -> r <= spot)) - 1")
 
 
 def _couple(search: Search, gen: int) -> str:
-    """Positions of two different parents in ``pool`` for ``pair``: both
-    tournaments are redrawn while they have the same winner; after the last
-    attempt the second parent is the runner-up."""
-
-    def tournament(side: str) -> str:
-        return _tournament(
-            search.tournament,
-            lambda n: draw(search.seed, side, "key", "model", gen, "pair", "attempt", n),
-        )
+    """Positions of two different parents in ``pool`` for ``pair``. Two tournaments that
+    are repeated while they have the same winner give (a, b) with a weight of p(a) p(b),
+    so a is drawn with p(a) (1 - p(a)) and b with p among the others: the part of a is
+    jumped over."""
 
-    tried = iv.once(
-        f"struct({tournament('a')} as a, {tournament('b')} as b)", "d",
-        f"case when d.a[0] <> d.b[0] then array(d.a[0], d.b[0]) when attempt = {ATTEMPTS - 1} "
-        "then array(d.a[0], coalesce(get(d.b, 1), d.b[0])) end",
-    )
-    return (
-        f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(null as array<int>), "
-        f"(found, attempt) -> coalesce(found, {tried}))"
-    )
+    def u(side: str) -> str:
+        return draw(search.seed, side, "key", "model", gen, "pair")
+
+    one = _hit("reach_one", f"{u('a')} * element_at(reach_one, -1)")
+    apart = f"{u('b')} * (element_at(reach, -1) - get(chances, a))"
+    two = _hit("reach", iv.once(apart, "y", "if(y >= get(reach, a), y + get(chances, a), y)"))
+    return iv.once(one, "a", f"array(a, {two})")
 
 
 def _pair_count(search: Search) -> int:
@@ -163,7 +162,9 @@ def _couples(scored: DataFrame, search: Search, gen: int, with_elite: bool) -> D
     couple = f"if(pair < 0, array({elite_at}, {elite_at}), {_couple(search, gen)})"
     return (
         _pools(scored)
-        .selectExpr("*", f"{ranked} as ranked")
+        .selectExpr("*", f"{ranked} as ranked", f"{_chances(search)} as chances")
+        .selectExpr("*", f"{_reach('chances')} as reach",
+                    f"{_reach('transform(chances, x -> x * (1 - x))')} as reach_one")
         .selectExpr("*", f"explode(sequence({first}, {_pair_count(search) - 1})) as pair")
         .selectExpr("key", "model", "lo", "hi", "pool", "pair", f"{couple} as couple")
         .selectExpr(

@@ -16,6 +16,7 @@ rate, ck covariate vk.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,9 +60,10 @@ def cut_columns(models: DataFrame) -> list[str]:
     return [f"c{j}" for j in range(k)]
 
 
-def checked_models(models: DataFrame, sets: Sets) -> DataFrame:
-    """``(key, ids, c0..cK)``; a cut array that is empty, too long or holds NaN
-    or NULL stops the job instead of giving wrong labels."""
+def checked_models(models: DataFrame, sets: Sets, others: Sequence[str] = ()) -> DataFrame:
+    """``(key, ids, c0..cK)`` and ``others``; a cut array that is empty, too long or holds NaN
+    or NULL stops the job instead of giving wrong labels. A model without cuts (all
+    arrays NULL: its series could not be trained) forecasts nothing and is left out."""
 
     def checked(k: int, c: str) -> str:
         most = sets.limit(k) - 1
@@ -71,7 +73,8 @@ def checked_models(models: DataFrame, sets: Sets) -> DataFrame:
         )
 
     cuts = cut_columns(models)
-    return models.selectExpr("key", *model_ids(models), *[checked(k, c) for k, c in enumerate(cuts)])
+    trained = models.where(" or ".join(f"{c} is not null" for c in cuts))
+    return trained.selectExpr("key", *model_ids(models), *[checked(k, c) for k, c in enumerate(cuts)], *others)
 
 
 def forecast_steps(

@@ -157,7 +157,8 @@ def change_rate(series: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Dat
 
 def series_range(series: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:
     """``(key, lo, hi)``: arrays over the variables. Entry 0 is the range of the
-    change rate, entry k the range of covariate vk."""
+    change rate, entry k the range of covariate vk. NaN does not count; an entry is NULL
+    where nothing else is left."""
     values = value_columns(series)
     blocked = with_blocks(series.select("key", "i", *values), layout, ahead=1)
     over = f"over (partition by {', '.join(layout.cell)} order by i)"
@@ -165,8 +166,8 @@ def series_range(series: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Da
         *layout.cell, "i", f"try_divide(lead(v0) {over} - v0, v0) as v0", *values[1:]
     )
     return own_rows(rated, layout).groupBy("key").agg(
-        F.array(*[F.min(v) for v in values]).alias("lo"),
-        F.array(*[F.max(v) for v in values]).alias("hi"),
+        F.array(*[F.expr(f"min(nullif({v}, double('NaN')))") for v in values]).alias("lo"),
+        F.array(*[F.expr(f"max(nullif({v}, double('NaN')))") for v in values]).alias("hi"),
     )
 
 

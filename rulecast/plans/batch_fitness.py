@@ -24,13 +24,16 @@ def batch_fitness(
     rate_divisor: float = 100.0,
     slices: int = 1,
 ) -> DataFrame:
-    """``(key, model, ind, fitness)``. Spark brings each series and its
+    """``population`` with ``fitness`` as last column. Spark brings each series and its
     individuals together; ``slices`` splits the individuals of a series over
-    that many tasks (for few series and many individuals)."""
+    that many tasks (for few series and many individuals). Individuals without a
+    series, or with one too short, get NULL."""
     cuts = cut_columns(population)
     lagged = [f"w{k}" for k in range(1, len(cuts))]
     rows = steps.where("t >= 1").select("key", "t", "base", "actual", "move", *lagged)
-    people = checked_models(population, sets)
+    others = [c for c in population.columns if c not in ("key", "model", "ind", *cuts)]
+    columns = ["key", "model", "ind", *cuts, *others]
+    people = checked_models(population, sets, others)
     keys = ["key"]
     if slices > 1:
         keys = ["key", "slice"]
@@ -39,12 +42,14 @@ def batch_fitness(
 
     def score(series: pa.Table, members: pa.Table) -> pa.Table:
         fitness = _score(series, members, cuts, sets.radix, consequent, rate_divisor)
-        return members.select(["key", "model", "ind"]).append_column("fitness", fitness)
+        return members.select(columns).append_column("fitness", fitness)
+
+    kinds = [f"{c} {population.schema[c].dataType.simpleString()}" for c in columns]
 
     return (
         rows.groupBy(*keys)
         .cogroup(people.groupBy(*keys))
-        .applyInArrow(score, "key string, model int, ind int, fitness double")
+        .applyInArrow(score, ", ".join([*kinds, "fitness double"]))
     )
 
 

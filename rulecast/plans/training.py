@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..operators.layout import SeriesLayout
 from ..operators.population import Search, init_population, next_generation, select_elite
 from ..operators.rules import Sets, antecedent_counts, covariate_terms, cut_columns, forecast_steps
 from ..operators.series import series_range, value_columns
-from ..settle import settle
+from ..settle import settle, spread
 from .batch_fitness import BATCH_ROWS, batch_fitness
 
 STRATEGIES = ("auto", "relational", "batch")
@@ -60,13 +61,12 @@ def evaluate_steps(
         raise ValueError(f"batch fitness needs series proven to have at most {BATCH_ROWS} rows")
     terms = covariate_terms(population)
     if terms and strategy != "relational" and short:
-        fitness = batch_fitness(steps, population, sets, consequent, rate_divisor, slices)
-    else:
-        counts = antecedent_counts(steps, population, terms, layout, sets) if terms else None
-        forecast = forecast_terms(
-            steps, moves, counts, population, terms, layout, sets, consequent=consequent
-        )
-        fitness = rmse(price_from_rate(forecast, rate_divisor)).withColumnRenamed("rmse", "fitness")
+        return batch_fitness(steps, population, sets, consequent, rate_divisor, slices)
+    counts = antecedent_counts(steps, population, terms, layout, sets) if terms else None
+    forecast = forecast_terms(
+        steps, moves, counts, population, terms, layout, sets, consequent=consequent
+    )
+    fitness = rmse(price_from_rate(forecast, rate_divisor)).withColumnRenamed("rmse", "fitness")
     return population.join(fitness, ["key", "model", "ind"], "left")
 
 
@@ -82,22 +82,40 @@ def fit_cuts(
 
     All series, repeats and individuals of a generation are one Spark job. The
     driver only counts generations; each one is settled, so lineage does not
-    grow and lost executors cost one generation at most.
+    grow and lost executors cost one generation at most. The steps are laid out by cell
+    once and kept so; what moves in a generation is the population.
+
+    A series without any rate, or without any value of a variable, cannot be trained: its
+    models have NULL cuts and a NULL fitness.
     """
-    steps = settle(forecast_steps(series, layout))
+    steps = laid_out(settle(forecast_steps(series, layout)), layout)
     moves = settle(first_moves(series, search.sets))
     ranges = settle(series_range(series, layout))
-    population = init_population(ranges, search, len(value_columns(series)))
+    known = "not exists(concat(lo, hi), x -> x is null)"
+    population = init_population(ranges.where(known), search, len(value_columns(series)))
     for gen in range(search.generations + 1):
         scored = evaluate_steps(steps, moves, population, layout, search.sets, strategy, **options)
         if gen < search.generations:  # offspring of the last one would not be looked at
             population = settle(next_generation(scored, search, gen))
+    cuts = cut_columns(scored)
+    untrained = ranges.where(f"not ({known})").selectExpr(
+        "key", f"explode(sequence(1, {search.repeats})) as model",
+        *[f"cast(null as array<double>) as {c}" for c in cuts], "cast(null as double) as fitness",
+    )
     # settled, as scoring reads a model table several times
-    return settle(select_elite(scored, 1).select(
-        "key", "model", *cut_columns(scored), "fitness",
+    models = settle(select_elite(scored, 1).select("key", "model", *cuts, "fitness").union(untrained).select(
+        "*",
         F.lit(search.sets.price).alias("max_price_set"),
         F.lit(search.sets.item).alias("max_item_set"),
     ))
+    steps.unpersist()
+    return models
+
+
+def laid_out(steps: DataFrame, layout: SeriesLayout) -> DataFrame:
+    """Steps hashed and sorted by cell, in a cache that keeps this layout; parts lost with
+    an executor are made again from the settled steps."""
+    return spread(steps, layout.cell).sortWithinPartitions(*layout.cell).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_series(

@@ -8,7 +8,9 @@ every midpoint, repair by recursion.
 
 from __future__ import annotations
 
-from workload.queries import RANDOM, SMALL, UNIFORM
+from math import comb
+
+from workload.queries import CROSSING, RANDOM, SMALL, UNIFORM
 
 V = range(5)
 VALUES = ", ".join(f"v{k}" for k in V)
@@ -46,6 +48,7 @@ def indexed(name, where="true") -> str:
 
 WHOLE = [OBS, indexed("series")]
 TRAIN = [OBS, indexed("train", "month(ts) <= 10")]
+FIT = [OBS, indexed("train")]  # whole series, where no hold-out is scored
 TEST = [indexed("test", "month(ts) > 10")]
 
 
@@ -80,8 +83,8 @@ def population(search) -> list[str]:
     ]
 
 
-def models(search) -> list[str]:
-    return [*TRAIN, *ranges("train"), *population(search), "models AS (SELECT * FROM pop0 WHERE ind = 0)"]
+def models(search, series=TRAIN) -> list[str]:
+    return [*series, *ranges("train"), *population(search), "models AS (SELECT * FROM pop0 WHERE ind = 0)"]
 
 
 def labels(name, series, pop, aligned) -> list[str]:
@@ -197,31 +200,30 @@ def evaluated(n, pop) -> list[str]:
 def couples(n, search, gen) -> list[str]:
     """``cpl{n}``: (key, model, pair, parent1, parent2) from ``fit{n}``."""
     pairs = (search.population - search.elite + 1) // 2
-    out = [
-        f"t{n}_0 AS (SELECT DISTINCT key, model, pair, side, attempt, range(0, {search.population}) AS rest,"
-        f" []::BIGINT[] AS drawn FROM fit{n}, range(0, {pairs}) AS p(pair), (VALUES ('a'), ('b')) AS s(side),"
-        " range(0, 8) AS q(attempt))"
-    ]
-    for k in range(search.tournament):
-        u = draw(search.seed, "' || side || '", "key", "model", gen, "pair", "attempt", k)
-        out.append(
-            f"t{n}_{k + 1} AS (SELECT * EXCLUDE (rest, drawn, spot), list_append(drawn, rest[spot + 1]) AS drawn,"
-            f" list_concat(rest[1:spot], rest[spot + 2:]) AS rest"
-            f" FROM (SELECT *, floor({u} * len(rest))::BIGINT AS spot FROM t{n}_{k}))"
-        )
-    return out + [
-        f"w{n} AS (SELECT key, model, pair, side, attempt, ind,"
-        " row_number() OVER (PARTITION BY key, model, pair, side, attempt ORDER BY CAST(printf('%.8e', fitness) AS DOUBLE), pos) AS place"
-        f" FROM (SELECT * EXCLUDE (drawn, rest), unnest(drawn) AS ind, generate_subscripts(drawn, 1) AS pos"
-        f" FROM t{n}_{search.tournament}) JOIN fit{n} USING (key, model, ind))",
-        f"d{n} AS (SELECT key, model, pair, attempt,"
-        " max(ind) FILTER (WHERE side = 'a' AND place = 1) AS a1,"
-        " max(ind) FILTER (WHERE side = 'b' AND place = 1) AS b1,"
-        f" max(ind) FILTER (WHERE side = 'b' AND place = 2) AS b2 FROM w{n} GROUP BY ALL)",
-        f"cpl{n} AS (SELECT key, model, pair, a1::INTEGER AS parent1,"
-        " (CASE WHEN a1 <> b1 THEN b1 ELSE coalesce(b2, b1) END)::INTEGER AS parent2"
-        " FROM (SELECT *, row_number() OVER (PARTITION BY key, model, pair ORDER BY attempt) AS nth"
-        f" FROM d{n} WHERE a1 <> b1 OR attempt = 7) WHERE nth = 1)",
+    size, drawn = search.population, search.tournament
+    # chance that the winner has rank r or worse
+    worse = ", ".join(f"'{comb(size - r, drawn) / comb(size, drawn)!r}'::DOUBLE" for r in range(size + 1))
+    u = {s: draw(search.seed, s, "key", "model", gen, "pair") for s in "ab"}
+    upto = "OVER (PARTITION BY key, model ORDER BY ind ROWS UNBOUNDED PRECEDING)"
+    every = "OVER (PARTITION BY key, model)"
+    return [
+        f"pw{n} AS (SELECT key, model, ind, (worse[better + 1] - worse[better + same + 1]) / same AS p FROM"
+        f" (SELECT *, [{worse}] AS worse, rank() OVER (PARTITION BY key, model ORDER BY fit) - 1 AS better,"
+        " count(*) OVER (PARTITION BY key, model, fit) AS same FROM"
+        f" (SELECT key, model, ind, CAST(printf('%.8e', fitness) AS DOUBLE) AS fit FROM fit{n})))",
+        f"ps{n} AS (SELECT *, lag(upto, 1, 0) OVER (PARTITION BY key, model ORDER BY ind) AS below FROM"
+        f" (SELECT *, sum(p) {upto} AS upto, sum(p * (1 - p)) {upto} AS upto_one,"
+        f" sum(p) {every} AS total, sum(p * (1 - p)) {every} AS total_one FROM pw{n}))",
+        f"pd{n} AS (SELECT *, {u['a']} AS ua, {u['b']} AS ub FROM (SELECT DISTINCT key, model, pair"
+        f" FROM fit{n}, range(0, {pairs}) AS p(pair)))",
+        f"pa{n} AS (SELECT key, model, pair, ub, count(*) FILTER (WHERE upto_one <= ua * total_one) AS first"
+        f" FROM pd{n} JOIN ps{n} USING (key, model) GROUP BY ALL)",
+        f"pb{n} AS (SELECT key, model, pair, first, CASE WHEN x >= below THEN x + p ELSE x END AS x FROM"
+        f" (SELECT d.*, s.p, s.below, d.ub * (s.total - s.p) AS x FROM pa{n} AS d JOIN ps{n} AS s"
+        " ON s.key = d.key AND s.model = d.model AND s.ind = d.first))",
+        f"cpl{n} AS (SELECT key, model, pair, first::INTEGER AS parent1,"
+        f" (count(*) FILTER (WHERE upto <= x))::INTEGER AS parent2"
+        f" FROM pb{n} JOIN ps{n} USING (key, model) GROUP BY key, model, pair, first)",
     ]
 
 
@@ -356,7 +358,7 @@ def _price(head: bool, divisor="100") -> str:
 
 def _rules(where="true") -> str:
     return query(
-        [*models(UNIFORM), *labels("tr", "train", "models", True), *rules("rules", "tr")],
+        [*models(UNIFORM, FIT), *labels("tr", "train", "models", True), *rules("rules", "tr")],
         f"SELECT {ID}, var::INTEGER AS var, ord::INTEGER AS ord, antecedent, consequent, n FROM rules WHERE {where}",
     )
 
@@ -372,9 +374,9 @@ def _scores(select, how="by_position", aligned=False, divisor="100") -> str:
     )
 
 
-SCORED = [*TRAIN, *ranges("train"), *population(SMALL), *evaluated(0, "pop0")]
+SCORED = [*FIT, *ranges("train"), *population(SMALL), *evaluated(0, "pop0")]
 CROSSED = [*SCORED, *couples(0, SMALL, 0), *children(0, "pop0", "cpl0", SMALL, 0)]
-LABELS = [*models(UNIFORM), *labels("un", "train", "models", False)]
+LABELS = [*models(UNIFORM, FIT), *labels("un", "train", "models", False)]
 BY_FITNESS = "SELECT key, model::INTEGER AS model, ind::INTEGER AS ind, round(fitness, 4) AS fitness FROM fit0"
 MEANS = "SELECT key, round(rmse, 4) AS rmse FROM means"
 STATS = ", ".join(
@@ -383,6 +385,13 @@ STATS = ", ".join(
 )
 LONG = " UNION ALL ".join(f"SELECT key, {k}::INTEGER AS var, i, v{k} AS value FROM series" for k in V)
 
+FITTED = query(
+    [*SCORED, *bred(0, "pop0", SMALL), *evaluated(1, "pop1"), *bred(1, "pop1", SMALL), *evaluated(2, "pop2"),
+     f"best AS (SELECT {WHO}, var, cuts, round(fitness, 4) AS fitness FROM pop2 JOIN rank2 USING ({WHO}) WHERE rank = 0)"],
+    f"SELECT {ID}, var::INTEGER AS var, pos::INTEGER AS pos, round(cut, 9) AS cut, fitness, 10::INTEGER AS max_price_set,"
+    " 10::INTEGER AS max_item_set FROM (SELECT *, unnest(cuts) AS cut, generate_subscripts(cuts, 1) - 1 AS pos FROM best)",
+)
+
 ORACLES: dict[str, str] = {
     "read_observations": (
         "SELECT l_shipdate AS timestamp, l_suppkey || '/' || year(l_shipdate) AS symbol, l_extendedprice AS price,"
@@ -404,9 +413,9 @@ ORACLES: dict[str, str] = {
     "series_range": query([*WHOLE, *ranges("series")], "SELECT key, lo, hi FROM ranges"),
     "series_stats": query(WHOLE, f"SELECT key, count(*) AS n, {STATS} FROM series GROUP BY key"),
     "change_rate": query([*WHOLE, rates("series")], "SELECT key, i, round(rate, 9) AS rate FROM series_rate"),
-    "init_cuts_uniform": query([*TRAIN, *ranges("train"), *population(UNIFORM)], listed("pop0")),
-    "model_keys": query([*TRAIN, *ranges("train"), *population(RANDOM)], "SELECT DISTINCT key FROM pop0"),
-    "init_cuts_random": query([*TRAIN, *ranges("train"), *population(RANDOM)], listed("pop0")),
+    "init_cuts_uniform": query([*FIT, *ranges("train"), *population(UNIFORM)], listed("pop0")),
+    "model_keys": query([*FIT, *ranges("train"), *population(RANDOM)], "SELECT DISTINCT key FROM pop0"),
+    "init_cuts_random": query([*FIT, *ranges("train"), *population(RANDOM)], listed("pop0")),
     "discretize": query(LABELS, f"SELECT {ID}, var::INTEGER AS var, i, a AS label FROM un_a"),
     "align_covariates": query(
         LABELS,
@@ -414,7 +423,7 @@ ORACLES: dict[str, str] = {
         " WHERE var = 0 OR i > 0",
     ),
     "interval_midpoints": query(
-        [*models(RANDOM), *labels("tr", "train", "models", True), *rules("rules", "tr"),
+        [*models(RANDOM, FIT), *labels("tr", "train", "models", True), *rules("rules", "tr"),
          *forecast("fc", "train", "models", "rules", "tr", MULTIORDER)],
         f"SELECT {ID}, j::INTEGER AS j, round(mid, 9) AS mid FROM fc_m",
     ),
@@ -430,7 +439,7 @@ ORACLES: dict[str, str] = {
     "price_from_rate_fraction": _price(False, "1"),
     "price_from_rate_head": _price(True),
     "rmse_train": query(
-        [*models(UNIFORM), *evaluated(0, "models")],
+        [*models(UNIFORM, FIT), *evaluated(0, "models")],
         f"SELECT {ID}, round(fitness, 4) AS rmse FROM fit0",
     ),
     "rmse_test": query(
@@ -458,23 +467,19 @@ ORACLES: dict[str, str] = {
         [*SCORED, *couples(0, SMALL, 0)], f"SELECT {ID}, pair::INTEGER AS pair, parent1, parent2 FROM cpl0"
     ),
     "single_point_crossover": query(
-        [*TRAIN, *ranges("train"), *population(SMALL),
-         "pairs AS (SELECT DISTINCT key, model, 0 AS pair, 0 AS parent1, 1 AS parent2 FROM pop0)",
-         *children(0, "pop0", "pairs", SMALL, 0)],
+        [*FIT, *ranges("train"), *population(SMALL),
+         f"pairs AS (SELECT DISTINCT key, model, ind AS pair, ind AS parent1, (ind + 1) % {SMALL.population} AS parent2 FROM pop0)",
+         *children(0, "pop0", "pairs", CROSSING, 0)],
         listed("kids0"),
     ),
     "crossover_population": query(CROSSED, listed("kids0")),
     "mutate_population": query(
-        [*TRAIN, *ranges("train"), *population(SMALL), mutated("mut", "pop0", SMALL, 0)], listed("mut")
+        [*FIT, *ranges("train"), *population(SMALL), mutated("mut", "pop0", SMALL, 0)], listed("mut")
     ),
     "repair_cuts": query([*CROSSED, *repaired("rep", "kids0", 0)], listed("rep")),
     "repair_cuts_first": query([*CROSSED, *repaired_first("rep", "kids0")], listed("rep")),
     "trim_cuts": query([*CROSSED, *trimmed("tri", "kids0", SMALL, 0)], listed("tri")),
     "next_generation": query([*SCORED, *bred(0, "pop0", SMALL)], listed("pop1")),
-    "fit_cuts": query(
-        [*SCORED, *bred(0, "pop0", SMALL), *evaluated(1, "pop1"), *bred(1, "pop1", SMALL), *evaluated(2, "pop2")],
-        f"SELECT {ID}, round(fitness, 4) AS fitness, 10::INTEGER AS max_price_set, 10::INTEGER AS max_item_set"
-        " FROM rank2 WHERE rank = 0",
-    ),
-    "train_series": query(models(UNIFORM), listed("models", "key, model")),
+    "fit_cuts": FITTED,
+    "train_series": FITTED,
 }

@@ -2,12 +2,14 @@
 
 Observations: each line item is an observation of its supplier, the series key is
 ``supplier/year of shipment``. The number of series grows with the data. Months 1
-to 10 are the training part of a series, months 11 and 12 the test part.
+to 10 are the training part of a series, months 11 and 12 the test part, in the queries
+that score a hold-out; the others take whole series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ RANDOM = po.Search(repeats=2, population=2, elite=1, tournament=1, init="random"
 SMALL = po.Search(
     population=7, elite=2, tournament=3, init="random", mutation_rate=0.4, generations=2, seed=5
 )
+#: Room for two children of each of its individuals.
+CROSSING = replace(SMALL, population=SMALL.elite + 2 * SMALL.population)
 VARIABLES = 5
 CUTS = [f"c{k}" for k in range(VARIABLES)]
 
@@ -56,9 +60,9 @@ def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Serie
 
 
 def train_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesLayout]:
-    obs = observations(spark, sf_dir)
-    layout = measure_layout(obs)
-    return settle(se.index_series(obs.where("month(ts) <= 10"), layout)), layout
+    """The whole table, where nothing is scored on a hold-out."""
+    series, layout = whole(spark, sf_dir)
+    return settle(series), layout
 
 
 def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesLayout]:
@@ -303,14 +307,14 @@ def _tournament_select(spark, sf_dir):
 
 
 def _single_point_crossover(spark, sf_dir):
-    """Individuals 0 and 1 of every series, crossed."""
+    """Every individual of a series crossed with the next one."""
     train, layout = train_part(spark, sf_dir)
     population = po.init_population(se.series_range(train, layout), SMALL, VARIABLES)
-    genes = f"struct({', '.join(CUTS)})"
-    couples = population.where("ind < 2").groupBy("key", "model").agg(
-        *[_expr(f"max_by({genes}, if(ind = {side}, 1, 0))", name) for side, name in ((0, "a"), (1, "b"))]
-    ).selectExpr("key", "model", "0 as pair", "a", "b")
-    return listed_cuts(po.single_point_crossover(couples, SMALL), "key", "model", "ind")
+    genes = _expr(f"array_sort(collect_list(struct(ind, {', '.join(CUTS)})))", "pool")
+    couples = population.groupBy("key", "model").agg(genes).selectExpr(
+        "key", "model", "pool", "posexplode(pool) as (pair, a)"
+    ).selectExpr("key", "model", "pair", "a", "pool[(pair + 1) % size(pool)] as b")
+    return listed_cuts(po.single_point_crossover(couples, CROSSING), "key", "model", "ind")
 
 
 def _expr(text: str, name: str):
@@ -353,19 +357,18 @@ def next_generation(spark, sf_dir, search: po.Search = SMALL):
 def fit_cuts(spark, sf_dir, search: po.Search = SMALL, strategy: str = "auto"):
     train, layout = train_part(spark, sf_dir)
     models = training.fit_cuts(train, search, layout, strategy)
-    return models.selectExpr(
-        "key", "model", "round(fitness, 4) as fitness", "max_price_set", "max_item_set"
-    )
+    return listed_models(models)
 
 
-def _train_series(spark, sf_dir):
-    train, layout = train_part(spark, sf_dir)
-    models = training.train_series(train, layout=layout, search=UNIFORM_RUN)
-    return listed_cuts(models, "key", "model")
+def listed_models(models: DataFrame) -> DataFrame:
+    named = models.selectExpr("*", "round(fitness, 4) as score")
+    ids = ("key", "model", "score", "max_price_set", "max_item_set")
+    return listed_cuts(named, *ids).withColumnRenamed("score", "fitness")
 
 
-#: One generation from uniform cuts: the best of it is the uniform individual.
-UNIFORM_RUN = po.Search(population=3, elite=1, tournament=2, generations=0)
+def _train_series(spark, sf_dir):
+    train, layout = train_part(spark, sf_dir)
+    return listed_models(training.train_series(train, layout=layout, search=SMALL))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_observations": _read_observations,
