@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..operators.layout import SeriesLayout
 from ..operators.population import Search, init_population, next_generation, select_elite
 from ..operators.rules import Sets, antecedent_counts, covariate_terms, cut_columns, forecast_steps
 from ..operators.series import series_range, value_columns
-from ..settle import settle, spread
+from ..settle import settle
 from .batch_fitness import BATCH_ROWS, batch_fitness
 
 STRATEGIES = ("auto", "relational", "batch")
@@ -82,13 +81,12 @@ def fit_cuts(
 
     All series, repeats and individuals of a generation are one Spark job. The
     driver only counts generations; each one is settled, so lineage does not
-    grow and lost executors cost one generation at most. The steps are laid out by cell
-    once and kept so; what moves in a generation is the population.
+    grow and lost executors cost one generation at most.
 
     A series without any rate, or without any value of a variable, cannot be trained: its
     models have NULL cuts and a NULL fitness.
     """
-    steps = laid_out(settle(forecast_steps(series, layout)), layout)
+    steps = settle(forecast_steps(series, layout))
     moves = settle(first_moves(series, search.sets))
     ranges = settle(series_range(series, layout))
     known = "not exists(concat(lo, hi), x -> x is null)"
@@ -103,19 +101,11 @@ def fit_cuts(
         *[f"cast(null as array<double>) as {c}" for c in cuts], "cast(null as double) as fitness",
     )
     # settled, as scoring reads a model table several times
-    models = settle(select_elite(scored, 1).select("key", "model", *cuts, "fitness").union(untrained).select(
+    return settle(select_elite(scored, 1).select("key", "model", *cuts, "fitness").union(untrained).select(
         "*",
         F.lit(search.sets.price).alias("max_price_set"),
         F.lit(search.sets.item).alias("max_item_set"),
     ))
-    steps.unpersist()
-    return models
-
-
-def laid_out(steps: DataFrame, layout: SeriesLayout) -> DataFrame:
-    """Steps hashed and sorted by cell, in a cache that keeps this layout; parts lost with
-    an executor are made again from the settled steps."""
-    return spread(steps, layout.cell).sortWithinPartitions(*layout.cell).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_series(

@@ -1,5 +1,9 @@
 """Population operators and the search: properties that must hold."""
 
+from collections import Counter
+from itertools import product
+from random import Random
+
 import pytest
 from test_forecast import TRAIN, WHOLE, model_table, table
 
@@ -8,14 +12,16 @@ from rulecast.operators import series as se
 from rulecast.operators.layout import SeriesLayout
 from rulecast.operators.rules import Sets
 from rulecast.plans import training
+from rulecast.plans.scoring import score_models
 
 SEARCH = po.Search(population=9, elite=2, tournament=3, mutation_rate=0.5, init="random", generations=3, seed=2)
 CUTS = ["c0", "c1", "c2"]
+POOL = "key string, model int, ind int, fitness double, c0 array<double>, lo array<double>, hi array<double>"
 
 
 @pytest.fixture(scope="module")
 def train(spark):
-    return table(spark, {k: v for k, v in TRAIN.items() if len(v[0]) > 10}).cache()
+    return table(spark, TRAIN).cache()
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +51,8 @@ def test_initial_cuts(train):
     assert len({tuple(g[0]) for (k, _, _), g in uniform.items() if k == "a"}) == 1
     drawn = genes(po.init_cuts_random(ranges, SEARCH, 3))
     assert all(len(c) == 9 and c == sorted(c) for g in drawn.values() for c in g)
-    assert len({tuple(g[0]) for g in drawn.values()}) == len(drawn)
+    ranged = [g for (key, _, _), g in drawn.items() if key != "tiny"]  # that has a single rate
+    assert len({tuple(g[0]) for g in ranged}) == len(ranged)
 
 
 def test_elite_is_best_and_kept(scored):
@@ -54,7 +61,8 @@ def test_elite_is_best_and_kept(scored):
     for r in scored.collect():
         fitness.setdefault(r["key"], []).append(r["fitness"])
     for r in best:
-        assert r["fitness"] == sorted(fitness[r["key"]])[r["rank"]]
+        assert r["fitness"] == sorted(fitness[r["key"]], key=lambda f: (f is None, f or 0))[r["rank"]]
+    assert set(fitness["tiny"]) == {None}
     bred, old = genes(po.next_generation(scored, SEARCH, 0)), genes(scored)
     for r in best:
         assert bred[r["key"], r["model"], r["rank"]] == old[r["key"], r["model"], r["ind"]]
@@ -68,20 +76,62 @@ def test_ties_go_to_the_lower_index(spark):
 
 def test_parents_differ(scored):
     pairs = po.tournament_select(scored, SEARCH).collect()
-    assert len(pairs) == 4 * 4  # 4 series, 7 places to fill
+    assert len(pairs) == len(TRAIN) * 4  # 7 places to fill
     assert all(r["parent1"] != r["parent2"] for r in pairs)
 
 
 def test_tournament_prefers_the_fit(spark):
     rows = [("a", m, j, float(j), [1.0], [], []) for m in range(300) for j in range(6)]
-    schema = "key string, model int, ind int, fitness double, c0 array<double>, lo array<double>, hi array<double>"
     search = po.Search(population=6, elite=4, tournament=2)
-    pairs = po.tournament_select(spark.createDataFrame(rows, schema), search).collect()
+    pairs = po.tournament_select(spark.createDataFrame(rows, POOL), search).collect()
     share = [sum(r["parent1"] == j for r in pairs) / len(pairs) for j in range(6)]
     # winner of 2 out of 6 is j in (5 - j) / 15 of the cases, less the redrawn ties
     assert share[0] > share[2] > share[4] and share[5] == 0
 
 
+def test_pairs_are_those_of_repeated_tournaments(spark):
+    """Against a literal sampler that repeats both tournaments until the winners differ;
+    two members have the same fitness, one has none, all values are tiny."""
+    fitness = [3e-10, 1e-10, 4e-10, 1e-10, None, 2e-10]
+    search = po.Search(population=6, elite=2, tournament=3)
+    rows = [("a", m, j, f, [1.0], [], []) for m in range(4000) for j, f in enumerate(fitness)]
+    got = Counter((r["parent1"], r["parent2"]) for r in po.tournament_select(spark.createDataFrame(rows, POOL), search).collect())
+    draw, want = Random(1), Counter()
+
+    def winner():
+        drawn = draw.sample(range(6), 3)
+        return min(drawn, key=lambda j: (fitness[j] is None, fitness[j] or 0, drawn.index(j)))
+
+    while want.total() < got.total():
+        a, b = winner(), winner()
+        if a != b:
+            want[a, b] += 1
+    for pair in product(range(6), repeat=2):
+        expected = want[pair]
+        assert abs(got[pair] - expected) <= 5 * (2 * expected + 1) ** 0.5, (pair, got[pair], expected)
+
+
+def test_untrainable_series_leave_the_others_alone(spark):
+    good = TRAIN["b"]
+    data = {
+        "good": good,
+        "point": [v[:1] for v in good],
+        "empty": [good[0], [None] * len(good[0]), *good[2:]],
+        "zero": [[0.0] * len(good[0]), *good[1:]],
+        "nan": [good[0], [float("nan"), *good[1][1:]], *good[2:]],
+    }
+    search = po.Search(**{**SEARCH.__dict__, "generations": 1})
+    for layout in (WHOLE, SeriesLayout(16)):
+        models = training.fit_cuts(table(spark, data), search, layout)
+        fitness = {r["key"]: r["fitness"] for r in models.collect()}
+        assert set(fitness) == set(data)
+        assert {k for k, f in fitness.items() if f is None} == {"point", "empty", "zero"}
+        alone = training.fit_cuts(table(spark, {"good": good}), search, layout)
+        assert genes_of_models(models)["good", 1] == genes_of_models(alone)["good", 1]
+        scores = score_models(table(spark, data), table(spark, data), models, layout).collect()
+        assert {r["key"] for r in scores if r["rmse"] is not None} == {"good", "nan"}
+
+
 def test_offspring(scored):
     bred = genes(po.next_generation(scored, SEARCH, 0))
     assert sorted(bred) == sorted(genes(scored))
@@ -107,8 +157,9 @@ def test_best_fitness_never_rises(train):
     for generations in range(4):
         search = po.Search(**{**SEARCH.__dict__, "generations": generations})
         models = training.fit_cuts(train, search, WHOLE).collect()
-        assert [(r["max_price_set"], r["max_item_set"]) for r in models] == [(10, 10)] * 4
-        best.append({r["key"]: r["fitness"] for r in models})
+        assert [(r["max_price_set"], r["max_item_set"]) for r in models] == [(10, 10)] * len(TRAIN)
+        best.append({r["key"]: r["fitness"] for r in models if r["fitness"] is not None})
+        assert len(best[-1]) == len(TRAIN) - 1
     for before, after in zip(best, best[1:]):
         assert all(after[k] <= before[k] for k in before)
 
@@ -126,7 +177,7 @@ def genes_of_models(models):
 def test_repeats_are_independent(train):
     search = po.Search(**{**SEARCH.__dict__, "generations": 0, "repeats": 2})
     models = genes_of_models(training.train_series(train, layout=WHOLE, search=search))
-    assert len(models) == 8 and models["a", 1] != models["a", 2]
+    assert len(models) == 2 * len(TRAIN) and models["a", 1] != models["a", 2]
 
 
 def test_trainers(spark, train):
@@ -135,13 +186,13 @@ def test_trainers(spark, train):
     price_models = training.train_series(
         train, values=["v0"], layout=WHOLE, search=po.Search(population=4, elite=1, tournament=2, generations=1)
     )
-    assert "c1" not in price_models.columns and price_models.count() == 4
+    assert "c1" not in price_models.columns and price_models.count() == len(TRAIN)
 
     def last(rows):
         return rows.tail(1)[["key", "i"]]
 
     ends = training.train_series_with(train, last, "key string, i bigint", WHOLE).collect()
-    assert {r["key"]: r["i"] for r in ends} == {k: len(v[0]) - 1 for k, v in TRAIN.items() if len(v[0]) > 10}
+    assert {r["key"]: r["i"] for r in ends} == {k: len(v[0]) - 1 for k, v in TRAIN.items()}
     with pytest.raises(ValueError):
         training.train_series_with(train, last, "key string, i bigint", SeriesLayout())
 
