@@ -60,7 +60,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_report(_table(spark, sf_dir, "documents"))
+    return substring_dedup.substring_report(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .common import stored
 from .units import NO_ID, drop_units, keyed, text_units
 
-MIN_WORDS = 8
+MIN_WORDS = 8  # the floor of the SQL twin alone; the query has none
 
 
-def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """All units and those to remove (d, th, unit, begin, end)."""
     units = stored(text_units(docs, kind, fold=True), "units")
     place = F.struct("d", "th", "unit")
@@ -31,7 +31,7 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WOR
     return units, stored(gone.select("d", "th", "unit", "begin", "end").distinct(), "gone")
 
 
-def substring_report(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def substring_report(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, n_units, n_removed, chars_removed, removed_spans (begin-end offsets of the
     removed units in the original text, in code points, comma-joined) for every row."""
     units, gone = repeated_units(docs, kind, min_words)
@@ -46,7 +46,7 @@ def substring_report(docs: DataFrame, kind: str = "line", min_words: int = MIN_W
         F.coalesce("chars", F.lit(0)).cast("bigint").alias("chars_removed"), F.coalesce(text, F.lit("")).alias("removed_spans"))
 
 
-def remove_repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """``docs`` (all columns) without the removed units."""
     _, gone = repeated_units(docs, kind, min_words)
     return drop_units(docs, gone, kind)
