@@ -25,8 +25,7 @@ WINDOW = 5  # words of a repeat that counts
 BATCH_WORDS = 400_000  # texts are gathered until they have so many words
 MIN_WORDS = 10
 MAX_COVERED = 20  # percent of words inside repeats
-LONGEST_WORDS = 100  # a repeat of more words than this
-LONGEST_SHARE = 10  # and more than this percent of the words fails the text
+LONGEST_WORDS = 100  # a repeat of more words than this fails the text, however long that is
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -120,7 +119,7 @@ def _judge(texts: list[str], words: list[list[bytes]]) -> list[tuple]:
         repeat = int(covered[end] - covered[begin])
         most = int(longest[begin:end].max()) if n else 0
         failed = n < MIN_WORDS or 100 * repeat > MAX_COVERED * n
-        too_long = most > LONGEST_WORDS and 100 * most > LONGEST_SHARE * n
+        too_long = most > LONGEST_WORDS
         out.append((n, len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, _SYMBOLS)),
                     len(lines) - len(set(lines)), repeat, failed, not failed and not too_long, most))
     return out
@@ -144,7 +143,7 @@ def judge_texts(texts: list[str | None]) -> list[tuple]:
 
 def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per document with the counts and verdicts of ``SCHEMA``. ``kept``: not
-    base_failed, and no repeat of over LONGEST_WORDS words and LONGEST_SHARE percent."""
+    base_failed, and no repeat of over LONGEST_WORDS words."""
     small_batches(docs.sparkSession)
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
