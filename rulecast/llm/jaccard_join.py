@@ -396,8 +396,10 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
         members = members.union(merged_blocks(reduce(DataFrame.union, blocks)))
     links.append(search_blocks(stored(members.distinct(), "blocks"), sets, p, q))
     # One doc_id with several texts joins their classes.
-    links.append(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("class", "id"), "class")
-                 .where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b"))
+    own = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "class")
+    several = own.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id")
+    links.append(own.join(several, "doc_id").join(classes.select("class", "id"), "class")
+                 .select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
     joined = connected_components(stored(reduce(DataFrame.union, links).distinct(), "links"))
     labels = classes.select("class", "id").join(joined, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     return rows.join(labels, "class", "left").select(
