@@ -162,7 +162,8 @@ def number_slots(placed: DataFrame) -> DataFrame:
 
 def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the shards that gain or lose documents below ``path`` (shard=<n>/), each split
-    over several tasks; returns their numbers. The files of other shards stay as they are."""
+    over several tasks; returns their numbers. The folders of shards that lose all their documents
+    go once the new files are committed; the files of other shards stay as they are."""
     moved = placed.where("shard <> old_shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
     if touched:
@@ -177,4 +178,9 @@ def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(8))
         rows.repartition("shard", salt).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        left = {r[0] for r in placed.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
+        spark = docs.sparkSession
+        for n in sorted({*touched} - left):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={n}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
