@@ -122,7 +122,9 @@ class ByteGru:
         return loss, grads
 
     def fit(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 0) -> float:
-        """Adam over random batches; returns the last mean loss."""
+        """Adam over random batches of the words' windows; returns the last mean loss."""
+        parts = [(w[k:k + WINDOW], label) for w, label in zip(words, labels) for k in range(0, max(1, len(w)), WINDOW)]
+        words, labels = [w for w, _ in parts], np.array([label for _, label in parts])
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
