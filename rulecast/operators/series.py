@@ -11,10 +11,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..settle import broadcast_if_small, settle, spread
 from .layout import SeriesLayout, measure_layout, own_rows, with_blocks
+from .positions import in_ranges
 
 
 def value_columns(df: DataFrame) -> list[str]:
@@ -26,64 +26,43 @@ def value_columns(df: DataFrame) -> list[str]:
 def index_series(observations: DataFrame, layout: SeriesLayout | None = None) -> DataFrame:
     """``(key, i, ts, v0..vK)`` with ``i`` the position of a row in its series.
 
-    With short series this is one window per key. Otherwise every long series is
-    cut into time slices in proportion to its row count; rows are numbered inside
-    a slice and shifted by the sizes of the slices before it, so that even a
-    series with a third of all rows is numbered by many tasks.
+    Series of up to ``block_rows`` rows are numbered by one window per key. The rows of
+    longer ones are sorted together into ranges by (key, ts, values), as many as their
+    count asks for; a row's position is its place in the range, less where its series
+    begins there, plus the rows of the series in earlier ranges. Ranges follow the rows
+    and not the clock, so that neither one outlying time nor any number of rows at one
+    moment makes a large one.
     """
     layout = layout or measure_layout(observations)
     values = value_columns(observations)
     table = observations.select("key", "ts", *values)
-    order = ["ts", *values]
     if layout.whole_keys:
-        at = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-        return spread(table, ["key"]).select("key", (at - 1).cast("bigint").alias("i"), "ts", *values)
-
-    clock = _seconds(table.schema["ts"].dataType, F.col("ts"))
-    long_keys = settle(
-        table.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(clock).alias("t0"), F.max(clock).alias("t1"))
-        .where(F.col("n") > layout.block_rows)
-        .select("key", "t0", (F.col("t1") - F.col("t0") + 1).alias("span"),
-                F.ceil(F.col("n") * 2 / layout.block_rows).alias("slices"))
+        return _numbered_by_key(spread(table, ["key"]), values)
+
+    long_keys = settle(series_sizes(table).where(F.col("n") > layout.block_rows))
+    known = long_keys.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_long, long_rows = known[0], known[1] or 0
+    if n_long == 0:
+        return _numbered_by_key(table, values)
+    listed = broadcast_if_small(long_keys.select("key"), n_long)
+    ranges = -(-2 * long_rows // layout.block_rows)
+    laid = in_ranges(table.join(listed, "key", "left_semi"), ["key", "ts", *values], ranges)
+    earlier = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        laid.groupBy("_range", "key")
+        .agg(F.min("_nth").alias("first"), F.count(F.lit(1)).alias("n"))
+        .select("_range", "key", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
     )
-    known = long_keys.agg(F.count(F.lit(1)), F.sum("slices")).first()
-    n_long, n_slices = known[0], known[1] or 0
-    sliced = (
-        table.join(broadcast_if_small(long_keys, n_long), "key", "left")
-        .withColumn(
-            "slice",
-            F.coalesce(
-                F.floor((clock - F.col("t0")) / F.col("span") * F.col("slices")), F.lit(0)
-            ).cast("bigint"),
-        )
-    )
-    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        sliced.where(F.col("slices").isNotNull())
-        .groupBy("key", "slice")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("key", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    )
-    inside = F.row_number().over(Window.partitionBy("key", "slice").orderBy(*order))
-    return (
-        sliced.drop("t0", "span", "slices")
-        .join(broadcast_if_small(starts, n_slices), ["key", "slice"], "left")
-        .select("key", (F.coalesce("start", F.lit(0)) + inside - 1).cast("bigint").alias("i"),
-                "ts", *values)
+    # a series lies in consecutive ranges, so there are at most ranges + n_long parts
+    placed = laid.join(broadcast_if_small(parts, ranges + n_long), ["_range", "key"]).select(
+        "key", (F.col("shift") + F.col("_nth")).cast("bigint").alias("i"), "ts", *values
     )
+    return _numbered_by_key(table.join(listed, "key", "left_anti"), values).union(placed)
 
 
-def _seconds(ts_type: T.DataType, ts: Column) -> Column:
-    """Whole seconds on a scale that never runs backwards."""
-    if isinstance(ts_type, T.TimestampType):
-        return F.unix_seconds(ts)
-    days = F.unix_date(ts.cast("date")).cast("bigint") * 86400
-    if isinstance(ts_type, T.DateType):
-        return days
-    return days + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def _numbered_by_key(table: DataFrame, values: list[str]) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("key").orderBy("ts", *values))
+    return table.select("key", (at - 1).cast("bigint").alias("i"), "ts", *values)
 
 
 def series_keys(series: DataFrame) -> DataFrame:

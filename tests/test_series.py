@@ -107,3 +107,23 @@ def test_stats(spark):
     series = se.index_series(table(spark, {"a": [(1, 1), (3, 1)]}))
     r = se.series_stats(series).first()
     assert (r["n"], r["mean_v0"], r["std_v0"], r["min_v0"], r["max_v0"]) == (2, 2.0, 1.0, 1.0, 3.0)
+
+
+def test_ranges_follow_rows_and_not_the_clock(spark):
+    """Neither an outlying time, nor one second, nor equal rows make a large slice."""
+    from rulecast.operators.positions import in_ranges, numbered
+
+    days = spark.range(9000).selectExpr("'a' as key", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, int(id)) as ts", "double(id) as v0")
+    second = spark.range(9000).selectExpr("'b' as key", "timestamp_ntz'2020-01-01' as ts", "double(pmod(hash(id), 5000)) as v0")
+    equal = spark.range(9000).selectExpr("'c' as key", "timestamp_ntz'2020-01-01' as ts", "1D as v0")
+    outlier = spark.sql("select 'a' as key, timestamp_ntz'1700-01-01' as ts, -1D as v0")
+    data = days.union(second).union(equal).union(outlier).repartition(5)
+    sizes = [r["count"] for r in in_ranges(data, ["key", "ts", "v0"], 55).groupBy("_range").count().collect()]
+    assert sum(sizes) == 27001 and max(sizes) <= 1000
+    series = se.index_series(data, SeriesLayout(1000))
+    assert rows(series.groupBy("key").agg(F.count("i"), F.countDistinct("i"), F.min("i"), F.max("i"))) == [
+        ("a", 9001, 9001, 0, 9000), ("b", 9000, 9000, 0, 8999), ("c", 9000, 9000, 0, 8999)]
+    assert series.where("key = 'a' and i <> v0 + 1").isEmpty()
+    places = rows(numbered(data.select("v0"), ["v0"], 7).groupBy().agg(F.countDistinct("pos"), F.max("pos")))
+    assert places == [(27001, 27000)]
+    assert numbered(data.limit(0), ["v0"], 7).isEmpty()
