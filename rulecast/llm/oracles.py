@@ -116,10 +116,55 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
   coalesce(h, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
+COLLOCATIONS = r"""
+WITH parts AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+  FROM documents),
+worded AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM parts),
+words AS (SELECT id, lang, unnest(w) AS one, generate_subscripts(w, 1) AS i FROM worded),
+runs AS (SELECT lang, one, lead(one, 1) OVER p AS two, lead(one, 2) OVER p AS three FROM words WINDOW p AS (PARTITION BY id ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, one AS phrase FROM runs
+  UNION ALL SELECT lang, 2, one || ' ' || two FROM runs WHERE two IS NOT NULL
+  UNION ALL SELECT lang, 3, one || ' ' || two || ' ' || three FROM runs WHERE three IS NOT NULL),
+counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY 1),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM found c JOIN range(1, 3) t(j) ON j < c.k
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j+1:c.k], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE k = 3),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM lowest s JOIN inner_parts t USING (lang, phrase) WHERE 100 * t.f >= 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest ANTI JOIN gone USING (lang, phrase) JOIN totals USING (lang)
+QUALIFY rank <= 2000"""
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+smallest AS (SELECT a, min(b) AS c FROM reach GROUP BY 1),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, s.c AS component_id, e.vec_id = s.c AS kept
+FROM embeddings e JOIN smallest s ON s.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_url_filter": URL_FILTER,
     "op5_jaccard_join": JACCARD_JOIN,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op10_decontamination": DECONTAMINATION,
+    "op11_collocations": COLLOCATIONS,
+    "op13_embedding_dedup": EMBEDDING_DEDUP,
 }

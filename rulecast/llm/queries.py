@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontamination, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sharding,
-               substring_dedup, url_filter)
+from . import (bpe, collocations, decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, quality_classifier,
+               quality_rules, sharding, substring_dedup, token_alignment, url_filter)
 
 #: The published vocabulary that op1 encodes with, by its name in the tokenizers' folder.
 VOCABULARY = "word_bpe_49k.json"
+#: The two that op12 aligns.
+SIDES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: (verdict, host, path prefix)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Parts of a host's name that put its pages on the list of op3.
@@ -21,10 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,18 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(_table(spark, sf_dir, "documents"), *map(vocabulary_path, SIDES))
+
+
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": bpe_encode_decode,
     "op2_line_dedup": line_dedup_report,
@@ -89,4 +103,7 @@ QUERIES = {
     "op8_quality_rules": repetition_rules,
     "op9_language_id": languages,
     "op10_decontamination": benchmark_hits,
+    "op11_collocations": phrase_collocations,
+    "op12_token_alignment": tokenizer_alignment,
+    "op13_embedding_dedup": embedding_copies,
 }
