@@ -11,7 +11,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -21,10 +21,14 @@ _SPLIT = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 SCHEMA = "d bigint, th bigint, unit int, begin int, end int, words int, h1 bigint, h2 bigint"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with d and th in front."""
+def _key() -> tuple[Column, Column]:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th"), "*")
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with d and th in front."""
+    return docs.select(*_key(), "*")
 
 
 def unit_spans(text: str, kind: str) -> list[tuple[int, int]]:
@@ -83,7 +87,8 @@ def drop_units(docs: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
     small_batches(docs.sparkSession)
     names = docs.columns
     lists = gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("unit")).alias("gone_units"))
-    keys = keyed(docs).select("d", "th", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    # the row as one column, so that no name of it meets those of the key
+    keys = docs.select(*_key(), F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("row"))
     met = keys.join(lists, ["d", "th"], "left").select("row", "gone_units")
     schema = docs.schema
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rulecast.llm import line_dedup
+from rulecast.llm import line_dedup, substring_dedup
 
 
 def brute(rows, min_lines, long_words):
@@ -42,3 +42,12 @@ def test_runs_against_brute_force(spark, min_lines, long_words):
     # Of rows equal in text each is a document of its own, as their ids differ.
     got = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs, min_lines, long_words).collect()}
     assert got == brute(rows, min_lines, long_words)
+
+
+def test_columns_named_like_the_keys(spark):
+    schema = "doc_id long, text string, d int, th string, unit int, `row` int, gone_units string, `a``b.c` int"
+    rows = [(i, "x y\n" * 3 + "own" * i, 7, "t", 8, 9, "g", 10) for i in range(3)]
+    docs = spark.createDataFrame(rows, schema)
+    for kept in (line_dedup.remove_repeated_lines(docs, 2, 3), substring_dedup.remove_repeated_units(docs, paragraph_words=2, run_words=4, run_lines=2)):
+        assert kept.columns == docs.columns
+        assert all(tuple(r)[2:] == (7, "t", 8, 9, "g", 10) for r in kept.collect())
