@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from .line_dedup import LONG_WORDS, MIN_LINES
 from .queries import LISTED_HOSTS
-from .substring_dedup import MIN_WORDS
 
 #: White space of str.split() and str.strip(), as a character class.
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -22,21 +20,16 @@ lines AS (
     row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS unit
   FROM placed WHERE plain <> '')"""
 
-_WINDOW = ", ".join(["plain", *(f"lead(plain, {i}) OVER w AS p{i}" for i in range(1, MIN_LINES))])
-_KEYS = ", ".join(["plain", *(f"p{i}" for i in range(1, MIN_LINES))])
-_FULL = " AND ".join(f"p{i} IS NOT NULL" for i in range(1, MIN_LINES))
-
 LINE_DEDUP = f"""{_LINES},
-runs AS (SELECT doc_id, unit, {_WINDOW} FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
-later AS (
-  SELECT doc_id, unit, row_number() OVER (PARTITION BY {_KEYS} ORDER BY doc_id, unit) AS copy
-  FROM runs WHERE {_FULL}),
-gone AS (
-  SELECT DISTINCT doc_id, unit + i AS unit FROM later, range({MIN_LINES}) t(i) WHERE copy > 1
-  UNION
-  SELECT doc_id, unit FROM (
-    SELECT doc_id, unit, row_number() OVER (PARTITION BY plain ORDER BY doc_id, unit) AS copy FROM lines WHERE words >= {LONG_WORDS})
-  WHERE copy > 1),
+runs AS (
+  SELECT doc_id, unit, words, plain, lead(plain, 1) OVER w AS p1, lead(plain, 2) OVER w AS p2, lead(words, 1) OVER w AS w1
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
+wide AS (
+  SELECT doc_id, unit, 3 AS n, [plain, p1, p2] AS run FROM runs WHERE p2 IS NOT NULL
+  UNION ALL SELECT doc_id, unit, 2, [plain, p1] FROM runs WHERE p1 IS NOT NULL AND words + w1 >= 20
+  UNION ALL SELECT doc_id, unit, 1, [plain] FROM runs WHERE words >= 20),
+later AS (SELECT doc_id, unit, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, unit) AS copy FROM wide),
+gone AS (SELECT DISTINCT doc_id, unit + i AS unit FROM later JOIN range(3) t(i) ON i < n WHERE copy > 1),
 lists AS (SELECT doc_id, count(*) AS n, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS removed FROM gone GROUP BY 1),
 counts AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.removed, '') AS removed
@@ -45,13 +38,25 @@ FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN lists l USING (doc_
 SUBSTRING_DEDUP = f"""{_LINES},
 starts AS (
   SELECT doc_id, no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - length(line) - 1 AS start FROM each),
+breaks AS (SELECT doc_id, no, sum((plain = '')::INT) OVER (PARTITION BY doc_id ORDER BY no) AS paragraph FROM placed),
+windows AS (
+  SELECT doc_id, unit, list(plain) OVER w AS ps, list(words) OVER w AS ws
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+units AS (
+  SELECT doc_id, min(unit) AS first, max(unit) AS last, string_agg(plain, ' ' ORDER BY unit) AS t
+  FROM lines JOIN breaks USING (doc_id, no) GROUP BY doc_id, paragraph HAVING sum(words) >= 8
+  UNION ALL
+  SELECT doc_id, unit, unit + k - 1, array_to_string(ps[1:k], ' ') FROM windows JOIN range(1, 9) r(k) ON k <= len(ps)
+  WHERE list_sum(ws[1:k]) >= 30 AND (coalesce(list_sum(ws[1:k-1]), 0) < 30 OR coalesce(list_sum(ws[2:k]), 0) < 30)),
 ranked AS (
-  SELECT l.doc_id, unit, start, start + length(line) AS fin,
-    row_number() OVER (PARTITION BY lower(plain) ORDER BY l.doc_id, unit) AS copy
-  FROM lines l JOIN starts s ON l.doc_id = s.doc_id AND l.no = s.no WHERE words >= {MIN_WORDS}),
+  SELECT *, doc_id::HUGEINT * 100000000 + first AS place,
+    min(doc_id::HUGEINT * 100000000 + first) OVER (PARTITION BY lower(t)) AS earliest FROM units),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS unit FROM ranked WHERE place > earliest),
+spans AS (
+  SELECT doc_id, start, start + length(line) AS fin FROM gone JOIN lines USING (doc_id, unit) JOIN starts USING (doc_id, no)),
 lists AS (
   SELECT doc_id, count(*) AS n, sum(fin - start) AS chars, string_agg(start::BIGINT || '-' || fin::BIGINT, ',' ORDER BY start) AS spans
-  FROM ranked WHERE copy > 1 GROUP BY 1),
+  FROM spans GROUP BY 1),
 counts AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_units, coalesce(l.n, 0)::BIGINT AS n_removed,
   coalesce(l.chars, 0)::BIGINT AS chars_removed, coalesce(l.spans, '') AS removed_spans
