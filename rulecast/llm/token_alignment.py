@@ -21,21 +21,31 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import small_batches, stored
 
+CACHE_WORDS = 300_000  # words whose ids a worker remembers
 CHUNK = 1_000_000  # characters that are aligned at a time, if no single text is longer
 PAIRS_SENT = 1_000_000  # pairs of ids (16 bytes each) that may be broadcast
 SPELLED = 64  # links of a group that are written out before equal ones are counted
 
+# Fixed value: how byte-level BPE divides a text into words, each of which is merged on its own.
+WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts of these characters are divided here, as all tables of letters and blanks agree on
+#: them: tab, line ends, printable ASCII, letters of Latin scripts, dashes and quotes.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f\u2010-\u2027]*")
+
 
 class Tokenizers:
     """Both tokenizers, and the bytes of each of their ids."""
@@ -58,14 +68,31 @@ class Tokenizers:
         self.b_bytes = _table([
             bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
             for i in range(self.b.get_piece_size())])
+        step = data.get("pre_tokenizer") or {}
+        self.by_words = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not data.get("normalizer")
+        self.known: dict[str, list[int]] = {}
         self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A. The library merges a word once and not at each of its places."""
+        divided = [WORDS.findall(t) if self.by_words and PLAIN.fullmatch(t) else [t] for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = [*{w for words in divided for w in words}.difference(self.known)]
+        found = dict(zip(new, (x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False))))
+        self.known.update(found)
+        out = [[*chain.from_iterable(map(self.known.__getitem__, words))] for words in divided]
+        for word in new:  # long words and whole texts are not worth their room
+            if len(word) > 32:
+                del self.known[word]
+        return out
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none if either doesn't give back the bytes of space and text."""
         spaced = [" " + t for t in texts]
         out = []
-        for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            a, b, plain = np.array(a.ids, np.int64), np.array(b, np.int64), text.encode()
+        for text, a, b in zip(spaced, self.encode_a(spaced), self.b.encode(texts, num_threads=1)):
+            a, b, plain = np.array(a, np.int64), np.array(b, np.int64), text.encode()
             same = len(plain) > 1 and all(b"".join(table[ids].tolist()) == plain for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
             out.append((a, b) if same else (a[:0], b[:0]))
         return out

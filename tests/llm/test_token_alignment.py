@@ -91,6 +91,22 @@ def test_equals_reading_by_hand(spark, paths, monkeypatch):
     assert report(docs, paths) == want
 
 
+def test_words_give_the_ids_of_whole_texts(paths):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(paths[0])
+    library.encode_special_tokens = True
+    with open(paths[0]) as a, open(paths[1], "rb") as b:
+        tokens = ta.Tokenizers(a.read(), b.read())
+    draw = random.Random(8)
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028)]]
+    odd = [*"\x0b\x0c\x1c\x1f\x85\xa0\u2028漢🙂٣", "'s", "'ll", "  ", "\n\n", "the", "12", "'T"]
+    texts = [" " + "".join(draw.choice(letters) for _ in range(draw.randrange(80)))
+             for letters in (plain, plain + odd, [*" '\n\tsat1.,"], [*"aé ½²'"], odd + [*"ab1. "]) for _ in range(400)]
+    assert tokens.by_words and sum(ta.PLAIN.fullmatch(t) is not None for t in texts) > 1000
+    assert tokens.encode_a(texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_large_groups_are_counted_in_bulk(paths):
     with open(paths[0]) as a, open(paths[1], "rb") as b:
         tokens = ta.Tokenizers(a.read(), b.read())
