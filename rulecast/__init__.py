@@ -27,6 +27,7 @@ from .operators.population import (
     tournament_select,
     trim_cuts,
 )
+from .operators.predicates import filter_by_run, filter_exists, filter_forall, fold_series, longest_run
 from .operators.rules import (
     Sets,
     align_covariates,
@@ -57,8 +58,8 @@ from .plans.scoring import (
     score_models,
     write_scores,
 )
-from .plans.training import evaluate_population, fit_cuts, train_series, train_series_with
-from .settle import settle
+from .plans.training import evaluate_population, fit_cuts, train_series, train_series_streamed, train_series_with
+from .settle import settle, settle_by
 from .sources.observations import (
     derive_series_key,
     read_observations,
@@ -66,5 +67,6 @@ from .sources.observations import (
     to_series_form,
     write_observations,
 )
+from .sources.store import open_series, stored_series, write_series
 
 __all__ = [name for name in dir() if not name.startswith("_")]

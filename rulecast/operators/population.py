@@ -3,7 +3,7 @@
 A population is one row per individual: ``(key, model, ind, c0..cK, lo, hi)``,
 ``model`` numbering independent repeats and ``lo``/``hi`` holding the value range
 of every variable. A *scored* population also has ``fitness`` (smaller is
-better). Every step is a function of its input rows and of named draws, so a
+better), and offspring the ``known`` fitness of those that live on. Every step is a function of its input rows and of named draws, so a
 retried task breeds the same offspring. The best ``elite`` individuals occupy
 the indices below ``elite`` in the next generation and are left alone.
 """
@@ -11,7 +11,6 @@ the indices below ``elite`` in the next generation and are left alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,39 +99,50 @@ def select_elite(scored: DataFrame, elite: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best) - 1).where(f"rank < {elite}")
 
 
-def _pools(scored: DataFrame) -> DataFrame:
-    """One row per (key, model): its individuals in index order. A pool is as
-    large as the population setting, whatever the data."""
-    member = F.expr(f"struct(ind, {_RANKED} as fit, {', '.join(cut_columns(scored))})")
-    return spread(scored, ["key", "model"]).groupBy("key", "model").agg(
-        F.array_sort(F.collect_list(member)).alias("pool"),
-        F.first("lo").alias("lo"),
-        F.first("hi").alias("hi"),
+def _pools(scored: DataFrame, search: Search) -> DataFrame:
+    """One row per (key, model): its individuals in index order, each with its ``chance`` to
+    win one tournament and where its part of the running sums begins. Ranks and sums are
+    windows, linear in the population."""
+    member = f"struct(ind, {', '.join(cut_columns(scored))}, fitness as score) as member"
+    who = "partition by key, model"
+    before = f"over ({who} order by ind rows between unbounded preceding and 1 preceding)"
+    return (
+        spread(scored, ["key"])
+        .selectExpr("key", "model", "ind", f"{_RANKED} as fit", member, "lo", "hi")
+        .selectExpr("*", f"rank() over ({who} order by fit) - 1 as better", f"count(*) over ({who}, fit) as equal")
+        .selectExpr("*", f"{_chance(search)} as chance")
+        .selectExpr("*", f"coalesce(sum(chance) {before}, 0D) as reach",
+                    f"coalesce(sum(chance * (1 - chance)) {before}, 0D) as reach_one")
+        .groupBy("key", "model")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("ind", "fit", "chance", "reach", "reach_one", "member"))).alias("pool"),
+            F.first("lo").alias("lo"),
+            F.first("hi").alias("hi"),
+        )
     )
 
 
-def _chances(search: Search) -> str:
-    """Per member of ``pool`` its chance to win one tournament. With k of n members drawn
-    without replacement, the winner has rank r or worse in C(n-r, k) of C(n, k) cases;
-    members of equal fitness share the chances of their ranks."""
+def _chance(search: Search) -> str:
+    """Chance to win one tournament. With k of n members drawn without replacement, the
+    winner has rank r or worse in C(n-r, k) of C(n, k) cases; members of equal fitness share
+    the chances of their ranks."""
     n, k = search.population, search.tournament
-    from_rank = ", ".join(f"{comb(n - r, k) / comb(n, k)!r}D" for r in range(n + 1))
-    ranks = (
-        "struct(size(filter(pool, x -> x.fit < m.fit)) as better, "
-        "size(filter(pool, x -> x.fit = m.fit)) as equal)"
-    )
-    share = f"(get(array({from_rank}), z.better) - get(array({from_rank}), z.better + z.equal)) / z.equal"
-    return f"transform(pool, m -> {iv.once(ranks, 'z', share)})"
 
+    def from_rank(r: str) -> str:
+        return " * ".join(f"(greatest({n - i} - ({r}), 0) / {n - i}D)" for i in range(k))
 
-def _reach(weights: str) -> str:
-    """0 and the running sums of ``weights``."""
-    return f"aggregate({weights}, array(0D), (s, x) -> array_append(s, element_at(s, -1) + x))"
+    return f"({from_rank('better')} - {from_rank('better + equal')}) / equal"
 
 
-def _hit(reach: str, spot: str) -> str:
-    """Position of the member into whose part of ``reach`` the ``spot`` falls."""
-    return iv.once(spot, "spot", f"size(filter({reach}, r -> r <= spot)) - 1")
+def _hit(reach: str, spot: str, search: Search) -> str:
+    """Position in ``pool`` of the member into whose part of ``reach`` the ``spot`` falls, by
+    bisection."""
+    further = f"get(pool, p + shiftleft(1, b)).{reach} <= spot"
+    find = (
+        f"aggregate(sequence({search.population.bit_length()}, 0, -1), 0, (p, b) -> "
+        f"if(p + shiftleft(1, b) < size(pool) and {further}, p + shiftleft(1, b), p))"
+    )
+    return iv.once(spot, "spot", find)
 
 
 def _couple(search: Search, gen: int) -> str:
@@ -144,10 +154,13 @@ def _couple(search: Search, gen: int) -> str:
     def u(side: str) -> str:
         return draw(search.seed, side, "key", "model", gen, "pair")
 
-    one = _hit("reach_one", f"{u('a')} * element_at(reach_one, -1)")
-    apart = f"{u('b')} * (element_at(reach, -1) - get(chances, a))"
-    two = _hit("reach", iv.once(apart, "y", "if(y >= get(reach, a), y + get(chances, a), y)"))
-    return iv.once(one, "a", f"array(a, {two})")
+    last = "element_at(pool, -1)"
+    total = f"({last}.reach + {last}.chance)"
+    total_one = f"({last}.reach_one + {last}.chance * (1 - {last}.chance))"
+    one = _hit("reach_one", f"{u('a')} * {total_one}", search)
+    apart = f"{u('b')} * ({total} - get(pool, a).chance)"
+    jumped = iv.once(apart, "y", "if(y >= get(pool, a).reach, y + get(pool, a).chance, y)")
+    return iv.once(one, "a", f"array(a, {_hit('reach', jumped, search)})")
 
 
 def _pair_count(search: Search) -> int:
@@ -156,20 +169,18 @@ def _pair_count(search: Search) -> int:
 
 def _couples(scored: DataFrame, search: Search, gen: int, with_elite: bool) -> DataFrame:
     """Parents of every pair; with the elite as pairs -elite..-1, best first."""
-    first = -search.elite if with_elite else 0
-    ranked = "array_sort(transform(pool, (m, p) -> struct(m.fit as fit, p as p)))"
-    elite_at = f"get(ranked, pair + {search.elite}).p"
-    couple = f"if(pair < 0, array({elite_at}, {elite_at}), {_couple(search, gen)})"
-    return (
-        _pools(scored)
-        .selectExpr("*", f"{ranked} as ranked", f"{_chances(search)} as chances")
-        .selectExpr("*", f"{_reach('chances')} as reach",
-                    f"{_reach('transform(chances, x -> x * (1 - x))')} as reach_one")
-        .selectExpr("*", f"explode(sequence({first}, {_pair_count(search) - 1})) as pair")
-        .selectExpr("key", "model", "lo", "hi", "pool", "pair", f"{couple} as couple")
-        .selectExpr(
-            "key", "model", "pair", "get(pool, couple[0]) as a", "get(pool, couple[1]) as b", "lo", "hi"
-        )
+
+    def pair(number: str, a: str, b: str) -> str:
+        return f"named_struct('pair', int({number}), 'a', get(pool, {a}).member, 'b', get(pool, {b}).member)"
+
+    bred = iv.once(_couple(search, gen), "couple", pair("pair", "couple[0]", "couple[1]"))
+    pairs = f"transform(sequence(0, {_pair_count(search) - 1}), pair -> {bred})"
+    if with_elite:
+        ranked = "array_sort(transform(pool, (m, p) -> struct(m.fit as fit, p as p)))"
+        best = f"transform(slice({ranked}, 1, {search.elite}), (r, j) -> {pair(f'j - {search.elite}', 'r.p', 'r.p')})"
+        pairs = f"concat({best}, {pairs})"
+    return _pools(scored, search).selectExpr("key", "model", "lo", "hi", f"inline({pairs})").select(
+        "key", "model", "pair", "a", "b", "lo", "hi"
     )
 
 
@@ -186,7 +197,8 @@ def single_point_crossover(couples: DataFrame, search: Search, gen: int = 0) ->
     ``(c0..cK)`` -> two children each, ``(key, model, ind, c0..cK, ...)``. Every
     variable has its own split in either parent; with probability
     1 - crossover_rate the children are copies of the parents. A negative pair
-    number marks an elite member: ``a`` goes on unchanged to elite + pair."""
+    number marks an elite member: ``a`` goes on unchanged to elite + pair, and if it has a
+    ``score`` that is its ``known`` fitness."""
     names = [n for n in couples.schema["a"].dataType.names if n.startswith("c")]
     others = [c for c in couples.columns if c not in ("key", "model", "pair", "a", "b")]
     place = ("key", "model", gen, "pair")
@@ -202,11 +214,14 @@ def single_point_crossover(couples: DataFrame, search: Search, gen: int = 0) ->
             f"if(crossed, {iv.cross(f'{one}.{n}', f'{two}.{n}', f'{one}_{n}', f'{two}_{n}')}, {one}.{n}) as {n}"
             for n in names
         )
-        return f"struct({search.elite + offset} + pair * 2 as ind, {genes}{along})"
+        return f"struct({search.elite + offset} + pair * 2 as ind, {genes}{along}{unknown})"
 
     along = "".join(f", {c}" for c in others)
     kept = ", ".join(f"a.{n} as {n}" for n in names)
-    unchanged = f"struct({search.elite} + pair as ind, {kept}{along})"
+    known = unknown = ""
+    if "score" in couples.schema["a"].dataType.names:
+        known, unknown = ", a.score as known", ", cast(null as double) as known"
+    unchanged = f"struct({search.elite} + pair as ind, {kept}{along}{known})"
     children = f"if(pair < 0, array({unchanged}), array({child('a', 'b', 0)}, {child('b', 'a', 1)}))"
     return (
         couples.selectExpr("*", f"{crossed} as crossed", *splits)

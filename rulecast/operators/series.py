@@ -76,7 +76,8 @@ def model_keys(models: DataFrame) -> DataFrame:
 
 
 def find_series(series: DataFrame, key: str) -> DataFrame:
-    """All rows of one series (a plain filter, pushed to the scan)."""
+    """All rows of one series. On a table that was just indexed all series are read, as
+    positions come first; :func:`rulecast.sources.store.stored_series` reads one only."""
     return series.where(F.col("key") == key)
 
 

@@ -1,4 +1,14 @@
-"""Fitness of many individuals on a short series in one Arrow batch."""
+"""Fitness of many individuals, counted in Arrow batches.
+
+Spark brings the steps of a cell and the individuals of its series together. Where a cell
+is a whole series, one pass counts the rules, weighs the midpoints and forecasts. A
+longer series comes in blocks: each counts its own part of the rules, Spark adds the parts
+and makes the rule book, and with it each block adds up its squared errors. Both forms use the same
+two functions, and no task holds more than a block.
+
+A value's label is the first cut above it, so only the running maximum of the cuts
+matters: it is searched among the sorted values, once for all lags of a variable.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +18,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import EDGE_OFFSET
+from ..operators.forecast import rule_book
+from ..operators.layout import SeriesLayout, per_cell
 from ..operators.rules import ORDERS, Sets, checked_models, cut_columns
 
-#: Longest series handed to one task as a whole.
-BATCH_ROWS = 20_000
-#: Label comparisons held at a time; more individuals are done in several rounds.
-_CELLS = 8_000_000
+#: Labels held at a time; more individuals are done in several rounds.
+_CELLS = 4_000_000
+
+_WHO = ["key", "model", "ind"]
 
 
 def batch_fitness(
     steps: DataFrame,
+    moves: DataFrame,
     population: DataFrame,
+    layout: SeriesLayout,
     sets: Sets,
     consequent: str = "by_position",
     rate_divisor: float = 100.0,
     slices: int = 1,
 ) -> DataFrame:
-    """``population`` with ``fitness`` as last column. Spark brings each series and its
-    individuals together; ``slices`` splits the individuals of a series over
-    that many tasks (for few series and many individuals). Individuals without a
-    series, or with one too short, get NULL."""
-    cuts = cut_columns(population)
+    """``population`` with ``fitness`` as last column. ``slices`` splits the individuals of a
+    series over that many tasks (for few series and many individuals). Individuals without
+    a series, or with one too short, get NULL. Of individuals with equal cuts one is scored,
+    and none if one has a ``known`` fitness."""
+    if layout.whole_keys:
+        return _whole_series(steps, population, sets, consequent, rate_divisor, slices)
+    return _in_blocks(steps, moves, population, layout, sets, consequent, rate_divisor)
+
+
+def _rows(steps: DataFrame, cuts: list[str], cell: list[str]) -> DataFrame:
     lagged = [f"w{k}" for k in range(1, len(cuts))]
-    rows = steps.where("t >= 1").select("key", "t", "base", "actual", "move", *lagged)
-    others = [c for c in population.columns if c not in ("key", "model", "ind", *cuts)]
-    columns = ["key", "model", "ind", *cuts, *others]
+    return steps.where("t >= 1").select(*cell, "t", "base", "actual", "move", *lagged)
+
+
+def _whole_series(steps, population, sets, consequent, rate_divisor, slices) -> DataFrame:
+    cuts = cut_columns(population)
+    others = [c for c in population.columns if c not in (*_WHO, *cuts)]
+    columns = [*_WHO, *cuts, *others]
     people = checked_models(population, sets, others)
+    rows = _rows(steps, cuts, ["key"])
     keys = ["key"]
     if slices > 1:
         keys = ["key", "slice"]
@@ -45,7 +69,6 @@ def batch_fitness(
         return members.select(columns).append_column("fitness", fitness)
 
     kinds = [f"{c} {population.schema[c].dataType.simpleString()}" for c in columns]
-
     return (
         rows.groupBy(*keys)
         .cogroup(people.groupBy(*keys))
@@ -53,35 +76,86 @@ def batch_fitness(
     )
 
 
-def _score(series, members, cuts, radix, consequent, divisor) -> pa.Array:
-    people = members.num_rows
-    if people == 0 or series.num_rows < 2:
-        return pa.nulls(people, pa.float64())
-    series = series.sort_by("t")
-    base, actual, move = (_doubles(series[c]) for c in ("base", "actual", "move"))
-    past = [_doubles(series[f"w{k}"], 3) for k in range(1, len(cuts))]
-    genes = [_matrix(members[c]) for c in cuts]
-    per_round = max(1, _CELLS // (series.num_rows * 3 * radix))
-    out = np.concatenate(
-        [
-            _round(
-                base, actual, move, past,
-                [(points[i : i + per_round], sizes[i : i + per_round]) for points, sizes in genes],
-                radix, consequent, divisor,
-            )
-            for i in range(0, people, per_round)
-        ]
-    )
-    return pa.array(out, mask=np.isneginf(out))
+def _in_blocks(steps, moves, population, layout, sets, consequent, rate_divisor) -> DataFrame:
+    cuts = cut_columns(population)
+    people = checked_models(population, sets)
+    rows = _rows(steps, cuts, layout.cell)
+    types = [f"{c} {population.schema[c].dataType.simpleString()}" for c in _WHO]
+    span = sets.radix ** max(ORDERS)
+
+    def met(members: DataFrame):
+        placed = per_cell(members, steps, layout)
+        renewed = placed.select(*[F.col(c).alias(c) for c in placed.columns])  # both sides come from the steps
+        return rows.groupBy(*layout.cell).cogroup(renewed.groupBy(*layout.cell))
+
+    def count(series: pa.Table, members: pa.Table) -> pa.Table:
+        found = [(pa.array([], pa.int64()), np.empty(0, np.int64), np.empty((0, sets.price), np.int64))]
+        if series.num_rows and members.num_rows:
+            cell = _Cell(series, len(cuts))
+            for at, genes in _rounds(cell, members, cuts):
+                asked, known = _antecedents(cell, genes, sets.radix)
+                distinct, counts = _counts(asked, known, _labels(*genes[0], *cell.move)[:, cell.start:], sets.radix, len(cuts) - 1)
+                whose, code = np.divmod(distinct, _reach(sets.radix, len(cuts) - 1))
+                found.append((pa.array(whose + at), code, counts[:, :sets.price]))
+        whose = pa.concat_arrays([w for w, _, _ in found])
+        code, counts = (np.concatenate([f[j] for f in found]) for j in (1, 2))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), sets.price).cast(pa.list_(pa.int64()))
+        return pa.table([
+            *[members[c].combine_chunks().take(whose) for c in _WHO],
+            pa.array((code // span).astype(np.int32)), pa.array(code % span), lists,
+        ], names=[*_WHO, "slot", "code", "counts"])
+
+    parts = met(people).applyInArrow(count, ", ".join([*types, "slot int, code bigint, counts array<bigint>"]))
+    sums = ", ".join(f"sum(counts[{j}])" for j in range(sets.price))
+    counts = parts.groupBy(*_WHO, "slot", "code").agg(F.expr(f"array({sums})").alias("counts"))
+    book = rule_book(counts, population, moves, sets, consequent)
+    entry = F.struct((F.col("slot") * span + F.col("code")).alias("code"), "u", "d")
+    # a page has at most as many entries as there are antecedents of the label limits
+    pages = book.groupBy(*_WHO).agg(F.array_sort(F.collect_list(entry)).alias("page"))
+
+    def squares(series: pa.Table, members: pa.Table) -> pa.Table:
+        total, n = np.zeros(members.num_rows), np.zeros(members.num_rows, np.int64)
+        if series.num_rows and members.num_rows:
+            cell = _Cell(series, len(cuts))
+            for at, genes in _rounds(cell, members, cuts):
+                here = slice(at, at + len(genes[0][1]))
+                page = members["page"].combine_chunks()[here]
+                sizes = page.value_lengths().fill_null(0).to_numpy()
+                code, up, down = (page.flatten().field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                distinct = code.astype(np.int64) + np.repeat(np.arange(len(sizes)), sizes) * _reach(sets.radix, len(cuts) - 1)
+                asked, known = _antecedents(cell, genes, sets.radix)
+                total[here], n[here] = _errors(cell, asked, known, distinct, up.astype(float), down.astype(float), rate_divisor)
+        return pa.table([*[members[c] for c in _WHO], pa.array(total), pa.array(n)], names=[*_WHO, "squares", "n"])
+
+    errors = met(people.join(pages, _WHO, "left")).applyInArrow(squares, ", ".join([*types, "squares double, n bigint"]))
+    fitness = errors.groupBy(*_WHO).agg(F.expr("if(sum(n) > 0, sqrt(sum(squares) / sum(n)), null)").alias("fitness"))
+    return population.join(fitness, _WHO, "left")
+
+
+# -- cells and labels ------------------------------------------------------------
 
 
-def _doubles(column, width=0):
-    """Values and validity; lists of ``width`` values become rows."""
-    flat = column.combine_chunks()
-    flat = flat.flatten() if width else flat
-    valid = flat.is_valid().to_numpy(zero_copy_only=False)
-    values = flat.to_numpy(zero_copy_only=False).astype(float)
-    return (values.reshape(-1, width), valid.reshape(-1, width)) if width else (values, valid)
+class _Cell:
+    """Steps of a cell in time order, from t = 1 on. ``start``: the first with t >= 2, which
+    have a rate before them and are forecast. Of a covariate all values that steps look
+    back on are one sequence: the step in row r looks at entries r to r + 2."""
+
+    def __init__(self, table: pa.Table, variables: int):
+        table = table.sort_by("t")
+        self.rows = table.num_rows
+        self.start = int(np.searchsorted(table["t"].to_numpy(), 2))
+        self.base, self.actual, self.move = (_doubles(table[c]) for c in ("base", "actual", "move"))
+        self.past = []
+        for k in range(1, variables):
+            lagged = [x.reshape(-1, 3) for x in _doubles(table[f"w{k}"], flat=True)]
+            self.past.append(tuple(np.concatenate([x[0, :0:-1], x[:, 0]]) for x in lagged))
+
+
+def _doubles(column, flat=False):
+    """Values and validity of a column, or of all entries of its lists."""
+    array = column.combine_chunks()
+    array = array.flatten() if flat else array
+    return array.to_numpy(zero_copy_only=False).astype(float), array.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _matrix(column):
@@ -93,66 +167,124 @@ def _matrix(column):
     return points, sizes
 
 
+def _rounds(cell, members, cuts):
+    """(first individual, cuts and sizes per variable) of as many individuals as fit."""
+    genes = [_matrix(members[c]) for c in cuts]
+    each = max(1, _CELLS // ((cell.rows + 2) * len(ORDERS) * len(cuts)))
+    for at in range(0, members.num_rows, each):
+        yield at, [(points[at:at + each], sizes[at:at + each]) for points, sizes in genes]
+
+
 def _labels(points, sizes, values, valid):
-    """First cut above each value, per individual; -1 for a missing value."""
-    shape = (len(sizes),) + (1,) * values.ndim
-    above = points.reshape(shape[:-1] + (1, -1) if values.ndim > 1 else (len(sizes), 1, -1)) > values[None, ..., None]
-    label = np.where(above.any(-1), above.argmax(-1), sizes.reshape(shape))
-    return np.where(valid[None], label, -1)
+    """First cut above each value, per individual; -1 for a missing value. The label is the
+    number of running maxima that aren't above the value."""
+    people, n = len(sizes), len(values)
+    order = np.argsort(values, kind="stable")  # NaN, above which no cut is, comes last
+    place = np.searchsorted(values[order], np.maximum.accumulate(points, axis=1))
+    place[np.isnan(points)] = n
+    spots = place + np.arange(people)[:, None] * (n + 1)
+    steps = np.bincount(spots.ravel(), minlength=people * (n + 1)).reshape(people, n + 1)
+    label = np.empty((people, n), np.int64)
+    label[:, order] = np.cumsum(steps[:, :n], axis=1)
+    label[:, ~valid] = -1
+    return label
 
 
-def _round(base, actual, move, past, genes, radix, consequent, divisor):
-    (points, sizes), n = genes[0], len(move[0]) - 1
-    people = len(sizes)
-    price = _labels(points, sizes, *move)  # from t = 1 on
-    width = points.shape[1] + 1
-    first = np.full((people, width), -1)
-    first[:, : price.shape[1]] = price[:, :width]
-    target = price[:, 1:]  # from t = 2 on, like everything below
-    owner = np.arange(people)[:, None]
-    antecedents, known = [], []
-    for slot, ((values, valid), (cut, size)) in enumerate(zip(past, genes[1:])):
-        label = _labels(cut, size, values[1:], valid[1:])
+def _reach(radix, covariates):
+    """Numbers that an individual's antecedents take: slot, then labels as digits."""
+    return covariates * len(ORDERS) * radix ** max(ORDERS)
+
+
+def _antecedents(cell, genes, radix):
+    """(people, forecast steps, terms): the antecedents, with the individual in front, and
+    whether all their labels are known."""
+    people, steps = len(genes[0][1]), cell.rows - cell.start
+    asked = np.empty((people, steps, len(cell.past) * len(ORDERS)), np.int64)
+    known = np.empty(asked.shape, bool)
+    for k, (values, valid) in enumerate(cell.past):
+        label = _labels(*genes[k + 1], values, valid)
+        ago = [label[:, 2 - d + cell.start:2 - d + cell.rows] for d in range(max(ORDERS))]
         for order in ORDERS:
-            code = label[..., order - 1]
-            for back in range(order - 2, -1, -1):
-                code = code * radix + label[..., back]
-            place = (owner * len(past) + slot) * len(ORDERS) + order - 1
-            antecedents.append(place * radix**3 + code)
-            known.append((label[..., :order] >= 0).all(-1))
-    antecedents, known = np.stack(antecedents, -1), np.stack(known, -1)
+            code, sound = ago[order - 1], ago[order - 1] >= 0
+            for d in range(order - 2, -1, -1):
+                code, sound = code * radix + ago[d], sound & (ago[d] >= 0)
+            slot = k * len(ORDERS) + order - 1
+            asked[..., slot], known[..., slot] = code + slot * radix ** max(ORDERS), sound
+    asked += (np.arange(people) * _reach(radix, len(cell.past)))[:, None, None]
+    return asked, known
 
+
+def _counts(asked, known, target, radix, covariates):
+    """The distinct antecedents, and how often each label followed."""
     counted = known & (target >= 0)[..., None]
-    consequents = np.broadcast_to(target[..., None], counted.shape)[counted]
-    distinct, which = np.unique(antecedents[counted], return_inverse=True)
-    counts = np.bincount(which * radix + consequents, minlength=len(distinct) * radix)
-    counts = counts.reshape(-1, radix)
+    following = np.broadcast_to(target[..., None], counted.shape)[counted]
+    distinct, which = np.unique(asked[counted], return_inverse=True)
+    counts = np.bincount(which * radix + following, minlength=len(distinct) * radix)
+    return distinct, counts.reshape(-1, radix)
+
+
+def _errors(cell, asked, known, distinct, up, down, divisor):
+    """Sum and number of squared errors per individual; ``up`` and ``down`` are the weighted
+    midpoints and weights of the ``distinct`` antecedents."""
+    people, n = asked.shape[:2]
+    wanted = asked[known]
+    at = np.minimum(np.searchsorted(distinct, wanted), max(len(distinct) - 1, 0))
+    hit = distinct[at] == wanted if len(distinct) else np.zeros(len(wanted), bool)
+    step = np.broadcast_to(np.arange(people * n).reshape(people, n, 1), known.shape)[known][hit]
+    ups = np.bincount(step, up[at[hit]], people * n).reshape(people, n)
+    downs = np.bincount(step, down[at[hit]], people * n).reshape(people, n)
+    rate = np.divide(ups, downs, out=np.zeros(ups.shape), where=downs > 0)
+    usable = cell.base[1][cell.start:] & cell.actual[1][cell.start:]
+    error = (cell.base[0][cell.start:] * (1 + rate / divisor) - cell.actual[0][cell.start:])[:, usable]
+    return (error**2).sum(1), int(usable.sum())
 
-    whose = distinct // (radix**3 * len(past) * len(ORDERS))
+
+# -- whole series -----------------------------------------------------------------
+
+
+def _score(series, members, cuts, radix, consequent, divisor) -> pa.Array:
+    people = members.num_rows
+    if people == 0 or series.num_rows < 2:
+        return pa.nulls(people, pa.float64())
+    genes = np.hstack([np.nan_to_num(_matrix(members[c])[0], nan=np.inf) for c in cuts])
+    _, first, same = np.unique(genes, axis=0, return_index=True, return_inverse=True)
+    fitness = np.full(len(first), np.nan)
+    if "known" in members.column_names:
+        known, valid = _doubles(members["known"])
+        fitness[same.ravel()[valid]] = known[valid]
+    todo = np.flatnonzero(np.isnan(fitness))
+    if len(todo):
+        cell = _Cell(series, len(cuts))
+        some = members.take(pa.array(first[todo]))
+        fitness[todo] = np.concatenate([_round(cell, g, radix, consequent, divisor) for _, g in _rounds(cell, some, cuts)])
+    fitness = fitness[same.ravel()]
+    return pa.array(fitness, mask=np.isneginf(fitness))
+
+
+def _round(cell, genes, radix, consequent, divisor):
+    points, sizes = genes[0]
+    people, covariates = len(sizes), len(genes) - 1
+    price = _labels(points, sizes, *cell.move)
+    asked, known = _antecedents(cell, genes, radix)
+    distinct, counts = _counts(asked, known, price[:, cell.start:], radix, covariates)
+
+    width = points.shape[1] + 1
+    head = np.full((people, width), -1)
+    head[:, :price.shape[1]] = price[:, :width]
+    whose = distinct // _reach(radix, covariates)
     mids = _midpoints(points, sizes)
     if consequent == "by_label":
         weight = counts[:, :width].astype(float)
     else:
-        seen = first[whose]
+        seen = head[whose]
         weight = np.take_along_axis(counts, np.maximum(seen, 0), 1) * (seen >= 0.0)
         if consequent == "by_position":
             weight = weight * (counts[:, :width] > 0)
     weight = weight * (np.arange(width) <= sizes[whose][:, None])
     up, down = (weight * mids[whose]).sum(1), weight.sum(1)
 
-    asked = antecedents[known]
-    at = np.minimum(np.searchsorted(distinct, asked), max(len(distinct) - 1, 0))
-    hit = distinct[at] == asked if len(distinct) else np.zeros(len(asked), bool)
-    cell = np.broadcast_to((owner * n + np.arange(n))[..., None], known.shape)[known][hit]
-    ups = np.bincount(cell, up[at[hit]], people * n).reshape(people, n)
-    downs = np.bincount(cell, down[at[hit]], people * n).reshape(people, n)
-    rate = np.divide(ups, downs, out=np.zeros_like(ups), where=downs > 0)
-
-    usable = base[1][1:] & actual[1][1:]
-    if not usable.any():
-        return np.full(people, -np.inf)
-    error = (base[0][1:] * (1 + rate / divisor) - actual[0][1:])[:, usable]
-    return np.sqrt((error**2).mean(1))
+    squares, n = _errors(cell, asked, known, distinct, up, down, divisor)
+    return np.sqrt(squares / n) if n else np.full(people, -np.inf)
 
 
 def _midpoints(points, sizes):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +17,10 @@ from ..operators.layout import SeriesLayout
 from ..operators.population import Search, init_population, next_generation, select_elite
 from ..operators.rules import Sets, antecedent_counts, covariate_terms, cut_columns, forecast_steps
 from ..operators.series import series_range, value_columns
-from ..settle import settle
-from .batch_fitness import BATCH_ROWS, batch_fitness
+from ..settle import discard, scratch_path, settle, settle_by, spread
+from .batch_fitness import batch_fitness
 
-STRATEGIES = ("auto", "relational", "batch")
+STRATEGIES = ("batch", "relational")
 
 
 def evaluate_population(
@@ -24,15 +28,15 @@ def evaluate_population(
     population: DataFrame,
     layout: SeriesLayout = SeriesLayout(),
     sets: Sets = Sets(),
-    strategy: str = "auto",
+    strategy: str = "batch",
     **options,
 ) -> DataFrame:
     """The population with its ``fitness``: the in-sample forecast RMSE of every
     individual on its own series."""
-    return evaluate_steps(
-        forecast_steps(series, layout), first_moves(series, sets), population,
-        layout, sets, strategy, **options,
-    )
+    steps = forecast_steps(series, layout)
+    if not layout.whole_keys:  # blocks are read several times
+        steps = settle(steps)
+    return evaluate_steps(steps, first_moves(series, sets), population, layout, sets, strategy, **options)
 
 
 def evaluate_steps(
@@ -41,26 +45,22 @@ def evaluate_steps(
     population: DataFrame,
     layout: SeriesLayout,
     sets: Sets,
-    strategy: str = "auto",
+    strategy: str = "batch",
     consequent: str = "by_position",
     rate_divisor: float = 100.0,
     slices: int = 1,
 ) -> DataFrame:
     """:func:`evaluate_population` on ready-made steps.
 
-    ``relational`` mines, looks up and averages with Spark operators and takes
-    series of any length. ``batch`` hands a whole short series with its
-    individuals to one Arrow batch; it is refused unless the layout proves that
-    no series is longer than ``BATCH_ROWS``. ``auto`` uses it where allowed.
+    Both strategies take series of any length and give the same. ``batch`` counts and
+    forecasts in Arrow batches, a cell and all its individuals at a time; ``relational``
+    mines, looks up and averages with Spark operators alone.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    short = layout.whole_keys and layout.longest is not None and layout.longest <= BATCH_ROWS
-    if strategy == "batch" and not short:
-        raise ValueError(f"batch fitness needs series proven to have at most {BATCH_ROWS} rows")
     terms = covariate_terms(population)
-    if terms and strategy != "relational" and short:
-        return batch_fitness(steps, population, sets, consequent, rate_divisor, slices)
+    if terms and strategy == "batch":
+        return batch_fitness(steps, moves, population, layout, sets, consequent, rate_divisor, slices)
     counts = antecedent_counts(steps, population, terms, layout, sets) if terms else None
     forecast = forecast_terms(
         steps, moves, counts, population, terms, layout, sets, consequent=consequent
@@ -73,39 +73,51 @@ def fit_cuts(
     series: DataFrame,
     search: Search = Search(),
     layout: SeriesLayout = SeriesLayout(),
-    strategy: str = "auto",
+    strategy: str = "batch",
     **options,
 ) -> DataFrame:
     """Search cut points for every series: ``(key, model, c0..cK, fitness,
     max_price_set, max_item_set)``, one row per repeat.
 
-    All series, repeats and individuals of a generation are one Spark job. The
-    driver only counts generations; each one is settled, so lineage does not
-    grow and lost executors cost one generation at most.
+    All series, repeats and individuals of a generation are one Spark job. The steps lie in
+    buckets by cell and the population in buckets by key, so that a generation shuffles
+    its scored individuals once and the steps never. The driver only counts generations;
+    each is written, so lineage does not grow and lost executors cost one generation at
+    most, and the one before it is deleted.
 
     A series without any rate, or without any value of a variable, cannot be trained: its
     models have NULL cuts and a NULL fitness.
     """
-    steps = settle(forecast_steps(series, layout))
-    moves = settle(first_moves(series, search.sets))
+    spark = series.sparkSession
+    paths = [scratch_path(spark, name) for name in ("steps", "moves")]
+    steps = settle_by(forecast_steps(series, layout), layout.cell, paths[0], ("t",))
+    moves = settle_by(first_moves(series, search.sets), ["key"], paths[1])
     ranges = settle(series_range(series, layout))
     known = "not exists(concat(lo, hi), x -> x is null)"
-    population = init_population(ranges.where(known), search, len(value_columns(series)))
+    variables = len(value_columns(series))
+    paths.append(scratch_path(spark, "population"))
+    population = settle_by(init_population(ranges.where(known), search, variables), ["key"], paths[-1])
     for gen in range(search.generations + 1):
         scored = evaluate_steps(steps, moves, population, layout, search.sets, strategy, **options)
         if gen < search.generations:  # offspring of the last one would not be looked at
-            population = settle(next_generation(scored, search, gen))
+            path = scratch_path(spark, "population")
+            population = settle_by(next_generation(scored, search, gen), ["key"], path)
+            discard(spark, paths.pop())
+            paths.append(path)
     cuts = cut_columns(scored)
     untrained = ranges.where(f"not ({known})").selectExpr(
         "key", f"explode(sequence(1, {search.repeats})) as model",
         *[f"cast(null as array<double>) as {c}" for c in cuts], "cast(null as double) as fitness",
     )
     # settled, as scoring reads a model table several times
-    return settle(select_elite(scored, 1).select("key", "model", *cuts, "fitness").union(untrained).select(
+    models = settle(select_elite(scored, 1).select("key", "model", *cuts, "fitness").union(untrained).select(
         "*",
         F.lit(search.sets.price).alias("max_price_set"),
         F.lit(search.sets.item).alias("max_item_set"),
     ))
+    for path in paths:
+        discard(spark, path)
+    return models
 
 
 def train_series(
@@ -133,11 +145,37 @@ def train_series_with(
 ) -> DataFrame:
     """Apply a user's Python trainer to every series as a pandas table in time
     order. It gets a whole series at once, so the layout must prove that all are
-    short."""
+    short; :func:`train_series_streamed` takes any length."""
     if not layout.whole_keys:
-        raise ValueError("a Python trainer needs series proven to fit one task; use train_series")
+        raise ValueError("a Python trainer needs series proven to fit one task; use train_series_streamed")
 
     def ordered(rows: pd.DataFrame) -> pd.DataFrame:
         return function(rows.sort_values("i", ignore_index=True))
 
     return series.groupBy("key").applyInPandas(ordered, schema)
+
+
+def train_series_streamed(
+    series: DataFrame,
+    function: Callable[[str, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """Apply a user's Python trainer with a running state to every series: ``function(key,
+    batches)`` reads the rows of a series in time order, a batch at a time, and yields rows
+    of ``schema``. A partition is sorted by Spark (and spills if it must), no series is
+    ever in memory as a whole, and what the function leaves unread is skipped."""
+    at = series.columns.index("key")
+
+    def pieces(batches):
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(at))
+            begin = 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                yield key, batch.slice(begin, end - begin)
+                begin = end
+
+    def run(batches):
+        for key, rows in groupby(pieces(batches), key=itemgetter(0)):
+            yield from function(key, (piece for _, piece in rows))
+
+    return spread(series, ["key"]).sortWithinPartitions("key", "i").mapInArrow(run, schema)

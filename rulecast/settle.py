@@ -47,6 +47,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle_by(df: DataFrame, keys: list[str], path: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to ``path`` (of :func:`scratch_path`) in buckets by ``keys``, rows sorted by
+    ``keys`` and ``order``. Unlike a checkpoint the table keeps its layout: joins and
+    groupings by ``keys`` read it without a shuffle, as often as it is used. The name that
+    a bucketed table needs is dropped at once; the files stay until :func:`discard`."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"settled_{uuid.uuid4().hex}"
+    laid = df.repartition(buckets, *keys)  # no shuffle, if df is laid out so already
+    laid.write.bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose successor is written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only for a counted side; otherwise leave the join to
     Spark (sort-merge, with adaptive skew handling)."""

@@ -174,7 +174,7 @@ def test_forecast_by_variable(spark, tables):
         assert [r["rate"] for r in rows] == pytest.approx(want, rel=1e-12)
 
 
-@pytest.mark.parametrize("strategy,layout", [("relational", WHOLE), ("relational", SeriesLayout(16)), ("batch", WHOLE)])
+@pytest.mark.parametrize("strategy,layout", [("relational", WHOLE), ("relational", SeriesLayout(16)), ("batch", WHOLE), ("batch", SeriesLayout(16)), ("batch", SeriesLayout(5))])
 @pytest.mark.parametrize("consequent", ["by_position", "by_label"])
 def test_fitness(spark, tables, strategy, layout, consequent):
     train = tables[0]
@@ -192,8 +192,34 @@ def test_batch_slices(spark, tables):
     want = {(r["key"], r["ind"]): r["fitness"] for r in training.evaluate_population(train, population, WHOLE, strategy="batch").collect()}
     sliced = training.evaluate_population(train, population, WHOLE, strategy="batch", slices=3)
     assert {(r["key"], r["ind"]): r["fitness"] for r in sliced.collect()} == pytest.approx(want, rel=1e-12)
-    with pytest.raises(ValueError):
-        training.evaluate_population(train, population, SeriesLayout(16), strategy="batch")
+
+
+def test_equal_individuals_are_scored_once(spark, tables, monkeypatch):
+    """Individuals with equal cuts share a fitness, and a known one is taken as it is."""
+    steps = ru.forecast_steps(tables[0].where("key = 'a'"), WHOLE).where("t >= 1").toArrow()
+    one, two = (r.asDict() for r in model_table(spark, ["a"]).orderBy("model").collect())
+    members = spark.createDataFrame([{**m, "known": k} for m, k in ((one, None), (two, 7.5), (one, None), (two, None))],
+                                    "key string, model int, c0 array<double>, c1 array<double>, c2 array<double>, known double").toArrow()
+    scored, plainly = [], batch._round
+    monkeypatch.setattr(batch, "_round", lambda cell, genes, *rest: scored.append(len(genes[0][1])) or plainly(cell, genes, *rest))
+    got = batch._score(steps, members, ["c0", "c1", "c2"], 10, "by_position", 100.0).to_pylist()
+    want = plain.fitness(TRAIN["a"], CUTS[1])
+    assert got == pytest.approx([want, 7.5, want, 7.5], rel=1e-12) and scored == [1]
+
+
+def test_labels_of_unsorted_cuts():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    values = np.round(draw.standard_normal(300), 1)
+    values[::17], values[5] = np.nan, np.inf
+    valid = draw.random(300) < 0.9
+    sizes = draw.integers(1, 9, 20)
+    points = np.full((20, 8), np.nan)
+    for row, n in zip(points, sizes):
+        row[:n] = np.round(draw.standard_normal(n), 1)
+    want = [[-1 if not ok else next((j for j in range(n) if row[j] > x), n) for x, ok in zip(values, valid)] for row, n in zip(points, sizes)]
+    assert batch._labels(points, sizes, values, valid).tolist() == want
 
 
 def test_batch_rounds(spark, tables, monkeypatch):

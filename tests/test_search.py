@@ -197,6 +197,74 @@ def test_trainers(spark, train):
         training.train_series_with(train, last, "key string, i bigint", SeriesLayout())
 
 
+def test_streamed_trainer(spark, train):
+    """A running state over batches that are shorter than a series; a function may stop early."""
+    import pyarrow as pa
+
+    def sums(key, batches):
+        total, n, sorted_ = 0.0, 0, True
+        for batch in batches:
+            places = batch.column("i").to_pylist()
+            sorted_ &= places == [*range(n, n + len(places))]
+            total, n = total + sum(batch.column("v0").to_pylist()), n + len(places)
+            if key == "b" and n > 5:
+                break
+        yield pa.RecordBatch.from_pydict({"key": [key], "total": [total], "n": [n], "sorted": [sorted_]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = {r["key"]: (r["total"], r["n"], r["sorted"]) for r in training.train_series_streamed(
+            train.repartition(3), sums, "key string, total double, n bigint, sorted boolean").collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert all(x[2] for x in got.values()) and 5 < got.pop("b")[1] <= 13
+    assert got == {k: (pytest.approx(sum(v[0])), len(v[0]), True) for k, v in TRAIN.items() if k != "b"}
+
+
+def exchanges(df):
+    """Shuffles of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(line.lstrip(" +-:*").startswith("Exchange ") for line in plan.splitlines())
+
+
+def test_a_generation_shuffles_once(spark, train, tmp_path):
+    """Neither the steps nor the population move; the scored individuals do, once."""
+    from rulecast.operators.forecast import first_moves
+    from rulecast.operators.rules import forecast_steps
+    from rulecast.settle import discard, settle_by
+
+    steps = settle_by(forecast_steps(train, WHOLE), ["key"], str(tmp_path / "steps"), ("t",))
+    population = settle_by(po.init_population(se.series_range(train, WHOLE), SEARCH, 3), ["key"], str(tmp_path / "people"))
+    scored = training.evaluate_steps(steps, first_moves(train), population, WHOLE, SEARCH.sets)
+    assert exchanges(scored) == 0
+    bred = po.next_generation(scored, SEARCH, 0)
+    assert exchanges(bred) == 1 and exchanges(bred.repartition(8, "key")) == 1
+    assert genes(bred) == genes(po.next_generation(training.evaluate_population(train, population, WHOLE), SEARCH, 0))
+    discard(spark, str(tmp_path / "people"))
+    assert not (tmp_path / "people").exists() and (tmp_path / "steps").exists()
+
+
+def test_selection_of_a_large_pool(spark):
+    """Bisection finds the same parents as a search from the front, in a population of any size."""
+    import time
+
+    seconds = []
+    for n in (300, 12_000):
+        search = po.Search(population=n, elite=2, tournament=5)
+        rows = spark.range(n).selectExpr("'a' as key", "1 as model", "int(id) as ind", "double(pmod(hash(id), 1000)) as fitness",
+                                         "array(1D) as c0", "array(0D) as lo", "array(1D) as hi").cache()
+        start = time.time()
+        pairs = po.tournament_select(rows, search).collect()
+        seconds.append(time.time() - start)
+        assert len(pairs) == (n - 1) // 2 and all(p["parent1"] != p["parent2"] for p in pairs)
+        fitness = {r["ind"]: r["fitness"] for r in rows.collect()}
+        mean = sum(fitness[p[c]] for p in pairs for c in ("parent1", "parent2")) / len(pairs) / 2
+        assert abs(mean - 1000 / 6) < 30  # the best of five of 0 to 999
+    assert seconds[1] < 40 * seconds[0]
+
+
 def test_repair_and_trim_spare_the_elite(spark):
     close = [1.0, 1.01, 2.0, 3.0]
     rows = [("a", 1, ind, close, [float(j) for j in range(12)], [0.0] * 2, [1.0] * 2) for ind in range(3)]

@@ -32,8 +32,9 @@ def label(cuts, x) -> str:
     )
 
 
+SHORT_KEY = "l_suppkey || '/' || year(l_shipdate) AS key"
 OBS = (
-    "obs AS (SELECT l_suppkey || '/' || year(l_shipdate) AS key, l_shipdate AS ts,"
+    f"obs AS (SELECT {SHORT_KEY}, l_shipdate AS ts,"
     " l_extendedprice AS v0, l_quantity AS v1, l_discount AS v2, l_tax AS v3,"
     " l_linenumber::DOUBLE AS v4 FROM lineitem)"
 )
@@ -385,6 +386,45 @@ STATS = ", ".join(
 )
 LONG = " UNION ALL ".join(f"SELECT key, {k}::INTEGER AS var, i, v{k} AS value FROM series" for k in V)
 
+def naive(n, pop) -> list[str]:
+    """``fit{n}`` without covariates: the price stays as it is."""
+    return [
+        f"naive{n} AS (SELECT key, sqrt(avg((v0 - base) * (v0 - base))) AS fitness FROM (SELECT key, i, v0,"
+        " lag(v0) OVER (PARTITION BY key ORDER BY i) AS base FROM train) WHERE i >= 2 GROUP BY key)",
+        f"fit{n} AS (SELECT {WHO}, fitness FROM (SELECT DISTINCT {WHO} FROM {pop}) LEFT JOIN naive{n} USING (key))",
+        f"rank{n} AS (SELECT *, row_number() OVER (PARTITION BY key, model ORDER BY ind) - 1 AS rank FROM fit{n})",
+    ]
+
+
+def fitted(last, parts) -> str:
+    best = f"best AS (SELECT {WHO}, var, cuts, round(fitness, 4) AS fitness FROM pop{last} JOIN rank{last} USING ({WHO}) WHERE rank = 0)"
+    return query(
+        [*parts, best],
+        f"SELECT {ID}, var::INTEGER AS var, pos::INTEGER AS pos, round(cut, 9) AS cut, fitness, 10::INTEGER AS max_price_set,"
+        " 10::INTEGER AS max_item_set FROM (SELECT *, unnest(cuts) AS cut, generate_subscripts(cuts, 1) - 1 AS pos FROM best)",
+    )
+
+
+PRICE_RANGES = [rates("train"), "ranges AS (SELECT key, 0 AS var, min(rate) AS lo, max(rate) AS hi FROM train_rate GROUP BY key)"]
+FITTED_PRICE = fitted(2, [
+    *FIT, *PRICE_RANGES, *population(SMALL), *naive(0, "pop0"), *bred(0, "pop0", SMALL), *naive(1, "pop1"), *bred(1, "pop1", SMALL), *naive(2, "pop2")])
+
+
+def falling(series) -> list[str]:
+    """``runs``: (key, run), the longest run of falling prices, by numbering islands."""
+    return [
+        f"steps AS (SELECT key, i, coalesce(v0 < lag(v0) OVER (PARTITION BY key ORDER BY i), false) AS hit FROM {series})",
+        "islands AS (SELECT key, count(*) AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY key ORDER BY i) AS island"
+        " FROM steps WHERE hit) GROUP BY key, island)",
+        "runs AS (SELECT key, coalesce(max(run), 0) AS run FROM (SELECT DISTINCT key FROM steps) LEFT JOIN islands USING (key) GROUP BY key)",
+    ]
+
+
+def long_series(sql: str, key: str = "(l_suppkey % 50)::VARCHAR AS key") -> str:
+    """The same over a fixed number of long series."""
+    return sql.replace(SHORT_KEY, key)
+
+
 FITTED = query(
     [*SCORED, *bred(0, "pop0", SMALL), *evaluated(1, "pop1"), *bred(1, "pop1", SMALL), *evaluated(2, "pop2"),
      f"best AS (SELECT {WHO}, var, cuts, round(fitness, 4) AS fitness FROM pop2 JOIN rank2 USING ({WHO}) WHERE rank = 0)"],
@@ -482,4 +522,29 @@ ORACLES: dict[str, str] = {
     "next_generation": query([*SCORED, *bred(0, "pop0", SMALL)], listed("pop1")),
     "fit_cuts": FITTED,
     "train_series": FITTED,
+    "train_series_price": FITTED_PRICE,
+    "train_series_custom": query([*FIT, *ranges("train"), *population(UNIFORM)], listed("(SELECT * FROM pop0 WHERE ind = 0)", "key, model")),
+    "train_series_with": query(
+        WHOLE,
+        "SELECT key, 1::INTEGER AS model, var::INTEGER AS var, pos::INTEGER AS pos, round(cut, 9) AS cut FROM ("
+        "SELECT key, 0 AS var, 0 AS pos, 0::DOUBLE AS cut FROM series GROUP BY key"
+        + "".join(f" UNION ALL SELECT key, {k}, {j}, {f}(v{k}) FROM series GROUP BY key" for k in (1, 2) for j, f in enumerate(("min", "max")))
+        + ")",
+    ),
+    "train_series_streamed": long_series(
+        query([*FIT, *ranges("train"), *population(UNIFORM)], listed("(SELECT * FROM pop0 WHERE ind = 0)", "key, model")), "l_returnflag AS key"),
+}
+
+ORACLES |= {
+    "stored_series": ORACLES["find_series"],
+    "filter_by_run": query([*WHOLE, *falling("series")], "SELECT key, i, v0 FROM series WHERE key IN (SELECT key FROM runs WHERE run >= 6)"),
+    "longest_run": query([*WHOLE, *falling("series")], "SELECT key, run FROM runs"),
+    "filter_exists": query(
+        WHOLE, "SELECT key, i, v0 FROM series WHERE key IN (SELECT key FROM series WHERE v0 > 104000 AND v1 = 50)"),
+    "filter_forall": query(WHOLE, "SELECT key, i, v0 FROM series WHERE key NOT IN (SELECT key FROM series WHERE v0 <= 1000)"),
+    "longest_run_blocks": long_series(query([*WHOLE, *falling("series")], "SELECT key, run FROM runs")),
+    "forecast_multiorder_join": long_series(ORACLES["forecast_multiorder"]),
+    **{f"{name}_blocks": long_series(ORACLES[name])
+       for name in ("index_series", "mine_all_rules", "forecast_multiorder", "score_models", "evaluate_population")},
+    "fit_cuts_blocks": FITTED,
 }

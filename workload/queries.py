@@ -4,6 +4,9 @@ Observations: each line item is an observation of its supplier, the series key i
 ``supplier/year of shipment``. The number of series grows with the data. Months 1
 to 10 are the training part of a series, months 11 and 12 the test part, in the queries
 that score a hold-out; the others take whole series.
+
+The queries named ``..._blocks`` have a fixed number of series instead, whose length grows
+with the data, and cut them into blocks.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulecast.operators import forecast as fc
 from rulecast.operators import population as po
+from rulecast.operators import predicates as pr
 from rulecast.operators import rules as ru
 from rulecast.operators import series as se
 from rulecast.operators.layout import SeriesLayout, measure_layout
 from rulecast.plans import scoring, training
 from rulecast.settle import scratch_path, settle
 from rulecast.sources import observations as src
+from rulecast.sources import store
 
 #: One uniform model per series.
 UNIFORM = po.Search(population=2, elite=1, tournament=1)
@@ -41,33 +46,41 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem(spark, sf_dir).selectExpr(
-        "concat_ws('/', string(l_suppkey), string(year(l_shipdate))) as key",
-        "l_shipdate as ts",
-        "l_extendedprice as v0", "l_quantity as v1", "l_discount as v2", "l_tax as v3",
-        "double(l_linenumber) as v4",
-    )
+SHORT_KEY = "concat_ws('/', string(l_suppkey), string(year(l_shipdate)))"
+LONG_KEY = "string(l_suppkey % 50)"
+FLAG_KEY = "l_returnflag"  # three series, each longer than an Arrow batch
+VALUES = ("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber")
+#: Of long series.
+BLOCKS = SeriesLayout(block_rows=250)
+
+
+def observations(spark: SparkSession, sf_dir: str, key: str = SHORT_KEY) -> DataFrame:
+    keyed = lineitem(spark, sf_dir).selectExpr(f"{key} as symbol", "l_shipdate", *VALUES)
+    return src.to_series_form(keyed, "l_shipdate", "symbol", VALUES)
+
 
+def _layout(obs: DataFrame, long: bool) -> SeriesLayout:
+    return BLOCKS if long else measure_layout(obs)
 
-def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, SeriesLayout]:
+
+def parts(spark: SparkSession, sf_dir: str, long: bool = False) -> tuple[DataFrame, DataFrame, SeriesLayout]:
     """Indexed train and test series, each used several times by a plan."""
-    obs = observations(spark, sf_dir)
-    layout = measure_layout(obs)
+    obs = observations(spark, sf_dir, LONG_KEY if long else SHORT_KEY)
+    layout = _layout(obs, long)
     train = se.index_series(obs.where("month(ts) <= 10"), layout)
     test = se.index_series(obs.where("month(ts) > 10"), layout)
     return settle(train), settle(test), layout
 
 
-def train_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesLayout]:
+def train_part(spark: SparkSession, sf_dir: str, long: bool = False) -> tuple[DataFrame, SeriesLayout]:
     """The whole table, where nothing is scored on a hold-out."""
-    series, layout = whole(spark, sf_dir)
+    series, layout = whole(spark, sf_dir, long)
     return settle(series), layout
 
 
-def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesLayout]:
-    obs = observations(spark, sf_dir)
-    layout = measure_layout(obs)
+def whole(spark: SparkSession, sf_dir: str, long: bool = False) -> tuple[DataFrame, SeriesLayout]:
+    obs = observations(spark, sf_dir, LONG_KEY if long else SHORT_KEY)
+    layout = _layout(obs, long)
     return se.index_series(obs, layout), layout
 
 
@@ -79,7 +92,7 @@ def models_for(train: DataFrame, layout: SeriesLayout, search: po.Search) -> Dat
 
 def listed_cuts(df: DataFrame, *ids: str) -> DataFrame:
     """One row per cut point, for comparison."""
-    entries = ", ".join(f"struct({k} as var, c{k} as cuts)" for k in range(VARIABLES))
+    entries = ", ".join(f"struct({k} as var, {c} as cuts)" for k, c in enumerate(ru.cut_columns(df)))
     return df.selectExpr(*ids, f"inline(array({entries}))").selectExpr(
         *ids, "var", "posexplode(cuts) as (pos, cut)"
     ).selectExpr(*ids, "var", "pos", "round(cut, 9) as cut")
@@ -105,8 +118,8 @@ def _read_observations(spark, sf_dir):
     return src.read_observations(spark, path)
 
 
-def _index_series(spark, sf_dir):
-    return whole(spark, sf_dir)[0]
+def _index_series(spark, sf_dir, long=False):
+    return whole(spark, sf_dir, long)[0]
 
 
 def _series_keys(spark, sf_dir):
@@ -121,6 +134,35 @@ def _find_series(spark, sf_dir):
     return se.find_series(whole(spark, sf_dir)[0], "1/1998")
 
 
+def _stored_series(spark, sf_dir):
+    """Every series is stored, then one is read."""
+    path = scratch_path(spark, "series")
+    store.write_series(whole(spark, sf_dir)[0], path)
+    return store.stored_series(store.open_series(spark, path), "1/1998")
+
+
+FALLING = "v0 < before_v0"
+
+
+def _filter_by_run(spark, sf_dir):
+    """Series whose price falls six times in a row, over the edges of small blocks."""
+    series = whole(spark, sf_dir)[0]
+    return pr.filter_by_run(series, FALLING, 6, SeriesLayout(block_rows=16)).select("key", "i", "v0")
+
+
+def _longest_run(long, spark, sf_dir):
+    series, layout = whole(spark, sf_dir, long)
+    return pr.longest_run(series, FALLING, layout)
+
+
+def _filter_exists(spark, sf_dir):
+    return pr.filter_exists(whole(spark, sf_dir)[0], "v0 > 104000 and v1 = 50").select("key", "i", "v0")
+
+
+def _filter_forall(spark, sf_dir):
+    return pr.filter_forall(whole(spark, sf_dir)[0], "v0 > 1000").select("key", "i", "v0")
+
+
 def _filter_series(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -202,13 +244,13 @@ def _rules(var: int, order: int, spark, sf_dir):
     return _shown(ru.mine_rules(train, models_for(train, layout, UNIFORM), var, order, layout))
 
 
-def _mine_all_rules(spark, sf_dir):
-    train, layout = train_part(spark, sf_dir)
+def _mine_all_rules(spark, sf_dir, long=False):
+    train, layout = train_part(spark, sf_dir, long)
     return _shown(ru.mine_all_rules(train, models_for(train, layout, UNIFORM), layout))
 
 
-def _forecast(operator, spark, sf_dir, **options):
-    train, test, layout = parts(spark, sf_dir)
+def _forecast(operator, spark, sf_dir, long=False, **options):
+    train, test, layout = parts(spark, sf_dir, long)
     models = models_for(train, layout, UNIFORM)
     # used on both sides of the forecast, from one table
     rules = settle(ru.mine_all_rules(train, models, layout))
@@ -257,8 +299,8 @@ def _rmse_test(spark, sf_dir):
     return scored.selectExpr("key", "model", "round(rmse, 4) as rmse")
 
 
-def _scores(spark, sf_dir, **options):
-    train, test, layout = parts(spark, sf_dir)
+def _scores(spark, sf_dir, long=False, **options):
+    train, test, layout = parts(spark, sf_dir, long)
     return scoring.score_models(train, test, models_for(train, layout, RANDOM), layout, **options)
 
 
@@ -286,14 +328,14 @@ def _write_scores(spark, sf_dir):
     return spark.read.parquet(path).selectExpr("key", "round(rmse, 4) as rmse")
 
 
-def scored_population(spark, sf_dir, search: po.Search = SMALL, strategy: str = "auto") -> DataFrame:
-    train, layout = train_part(spark, sf_dir)
+def scored_population(spark, sf_dir, search: po.Search = SMALL, strategy: str = "batch", long: bool = False) -> DataFrame:
+    train, layout = train_part(spark, sf_dir, long)
     population = settle(po.init_population(se.series_range(train, layout), search, VARIABLES))
     return training.evaluate_population(train, population, layout, search.sets, strategy)
 
 
-def evaluate(strategy: str, spark, sf_dir, search: po.Search = SMALL):
-    scored = scored_population(spark, sf_dir, search, strategy)
+def evaluate(strategy: str, spark, sf_dir, search: po.Search = SMALL, long: bool = False):
+    scored = scored_population(spark, sf_dir, search, strategy, long)
     return scored.selectExpr("key", "model", "ind", "round(fitness, 4) as fitness")
 
 
@@ -354,9 +396,9 @@ def next_generation(spark, sf_dir, search: po.Search = SMALL):
     return listed_cuts(bred, "key", "model", "ind")
 
 
-def fit_cuts(spark, sf_dir, search: po.Search = SMALL, strategy: str = "auto"):
-    train, layout = train_part(spark, sf_dir)
-    models = training.fit_cuts(train, search, layout, strategy)
+def fit_cuts(spark, sf_dir, search: po.Search = SMALL, strategy: str = "batch", layout: SeriesLayout | None = None):
+    train, measured = train_part(spark, sf_dir)
+    models = training.fit_cuts(train, search, layout or measured, strategy)
     return listed_models(models)
 
 
@@ -370,6 +412,56 @@ def _train_series(spark, sf_dir):
     train, layout = train_part(spark, sf_dir)
     return listed_models(training.train_series(train, layout=layout, search=SMALL))
 
+
+def _train_series_price(spark, sf_dir):
+    """The price alone."""
+    train, layout = train_part(spark, sf_dir)
+    return listed_models(training.train_series(train, values=["v0"], layout=layout, search=SMALL))
+
+
+def _train_series_custom(spark, sf_dir):
+    """A trainer of the user's own, from a series table to a model table."""
+    train, layout = train_part(spark, sf_dir)
+    models = training.train_series(train, lambda series: models_for(series, layout, UNIFORM))
+    return listed_cuts(models, "key", "model")
+
+
+def _train_series_with(spark, sf_dir):
+    """A Python trainer that gets each short series as a pandas table."""
+    train, layout = train_part(spark, sf_dir)
+
+    def cuts(rows):
+        ends = rows[["v1", "v2"]].agg(["min", "max"])
+        return rows[["key"]].head(1).assign(
+            model=1, c0=[[0.0]], **{f"c{k}": [[ends[f"v{k}"]["min"], ends[f"v{k}"]["max"]]] for k in (1, 2)})
+
+    schema = "key string, model int, c0 array<double>, c1 array<double>, c2 array<double>"
+    return listed_cuts(training.train_series_with(train, cuts, schema, layout), "key", "model")
+
+
+def _train_series_streamed(spark, sf_dir):
+    """A Python trainer with a running state, over series that are longer than a batch:
+    uniform cuts between the extremes of the rates and of each covariate."""
+    series = se.index_series(observations(spark, sf_dir, FLAG_KEY))
+
+    def uniform(key, batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, low, high = np.empty(0), np.full(VARIABLES, np.inf), np.full(VARIABLES, -np.inf)
+        for batch in batches:
+            seen = [batch.column(f"v{k}").to_numpy() for k in range(VARIABLES)]
+            price = np.concatenate([last, seen[0]])
+            last, seen[0] = price[-1:], (price[1:] - price[:-1]) / price[:-1]
+            for k, values in enumerate(seen):
+                low[k], high[k] = values.min(initial=low[k]), values.max(initial=high[k])
+        cuts = {f"c{k}": [[low[k] + (high[k] - low[k]) / 9 * j for j in range(1, 9)]] for k in range(VARIABLES)}
+        yield pa.RecordBatch.from_pydict({"key": [key], "model": pa.array([1], pa.int32()), **cuts})
+
+    schema = "key string, model int, " + ", ".join(f"{c} array<double>" for c in CUTS)
+    return listed_cuts(training.train_series_streamed(series, uniform, schema), "key", "model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_observations": _read_observations,
     "derive_series_key": _derive_series_key,
@@ -425,4 +517,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "next_generation": next_generation,
     "fit_cuts": fit_cuts,
     "train_series": _train_series,
+    "train_series_price": _train_series_price,
+    "train_series_custom": _train_series_custom,
+    "train_series_with": _train_series_with,
+    "train_series_streamed": _train_series_streamed,
+    "stored_series": _stored_series,
+    "filter_by_run": _filter_by_run,
+    "longest_run": partial(_longest_run, False),
+    "filter_exists": _filter_exists,
+    "filter_forall": _filter_forall,
+    "index_series_blocks": partial(_index_series, long=True),
+    "longest_run_blocks": partial(_longest_run, True),
+    "mine_all_rules_blocks": partial(_mine_all_rules, long=True),
+    "forecast_multiorder_blocks": partial(_forecast_multiorder, long=True, lookup="map"),
+    "forecast_multiorder_join": partial(_forecast_multiorder, long=True, lookup="join"),
+    "score_models_blocks": partial(score_models, long=True),
+    "evaluate_population_blocks": partial(evaluate, "batch", long=True),
+    "fit_cuts_blocks": partial(fit_cuts, layout=SeriesLayout(block_rows=32)),
 }
