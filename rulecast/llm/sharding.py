@@ -19,6 +19,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulecast.settle import broadcast_if_small
+
 from .common import stored
 
 OVERHEAD = 8  # bytes of a document besides its text
@@ -113,7 +115,8 @@ def _move(placed: DataFrame, capacity: list[int], short_first: bool) -> DataFram
     moving = blocks.where(F.col("_start") + F.col("_bytes") > begins[F.col("shard")])
     inside = Window.partitionBy("shard", "_class", "_bucket").orderBy("size", "doc_id", "text_crc32", "_row")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(F.broadcast(moving.select("shard", "_class", "_bucket", "_start")), ["shard", "_class", "_bucket"], "left")
+    moving = stored(moving.select("shard", "_class", "_bucket", "_start"), "moving")
+    rows = rows.join(broadcast_if_small(moving, moving.count()), ["shard", "_class", "_bucket"], "left")
     rows = stored(rows, "blocks")
     middle = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     taken = rows.where("_start IS NOT NULL").withColumn("_middle", middle)
@@ -161,26 +164,31 @@ def number_slots(placed: DataFrame) -> DataFrame:
 
 
 def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose documents below ``path`` (shard=<n>/), each split
-    over several tasks; returns their numbers. The folders of shards that lose all their documents
+    """Write the shards that gain or lose documents below ``path`` (shard=<n>/, or _shard=<n>/
+    beside a column so named), each split over several tasks; returns their numbers. The folders of shards that lose all their documents
     go once the new files are committed; the files of other shards stay as they are."""
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
     moved = placed.where("shard <> old_shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
     if touched:
-        # Rows of equal id and text are told apart by their number, in both tables.
-        crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint")
-        copies = Window.partitionBy("_id", "_crc").orderBy("_crc")
-        id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-        rows = docs.withColumn("_id", id_text).withColumn("_crc", crc).withColumn("_copy", F.row_number().over(copies))
-        where = placed.select(id_text.alias("_id"), F.col("text_crc32").alias("_crc"), "shard").withColumn(
-            "_copy", F.row_number().over(copies.orderBy("shard"))).where(F.col("shard").isin(touched))
-        rows = rows.join(where, ["_id", "_crc", "_copy"]).drop("_id", "_crc", "_copy")
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-        rows.repartition("shard", salt).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        # Rows of equal id and text are told apart by their number, in both tables. A row goes
+        # along as one column, so that no name of it meets those used here.
+        crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("crc")
+        copies = Window.partitionBy("id", "crc").orderBy("crc")
+        id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+        row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+        rows = docs.select(id_text, crc, row).withColumn("copy", F.row_number().over(copies))
+        where = placed.select(id_text, F.col("text_crc32").alias("crc"), "shard").withColumn(
+            "copy", F.row_number().over(copies.orderBy("shard"))).where(F.col("shard").isin(touched))
+        salt = F.pmod(F.xxhash64("id"), F.lit(8))
+        laid = rows.join(where, ["id", "crc", "copy"]).repartition("shard", salt)
+        laid.select("row.*", F.col("shard").alias(name)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
         left = {r[0] for r in placed.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
         spark = docs.sparkSession
         for n in sorted({*touched} - left):
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={n}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}={n}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
