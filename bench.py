@@ -24,12 +24,14 @@ SEARCH = q.po.Search(population=40, elite=4, tournament=6, generations=10, seed=
 
 QUERIES = {
     "index_series": q.QUERIES["index_series"],
+    "index_series_blocks": q.QUERIES["index_series_blocks"],
     "change_rate": q.QUERIES["change_rate"],
     "mine_all_rules": q.QUERIES["mine_all_rules"],
     "forecast_multiorder": q.QUERIES["forecast_multiorder"],
     "score_models": q.score_models,
     "evaluate_population_relational": partial(q.evaluate, "relational"),
     "evaluate_population_batch": partial(q.evaluate, "batch"),
+    "evaluate_population_blocks": q.QUERIES["evaluate_population_blocks"],
     "next_generation": q.next_generation,
 }
 #: A whole search is timed on the smaller scale beside SF_DIR, if there is one.
