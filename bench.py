@@ -22,16 +22,21 @@ RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 SEARCH = q.po.Search(population=40, elite=4, tournament=6, generations=10, seed=3)
 
+
+def index_long(spark, sf_dir):
+    """Three series with 100,000 rows and more each at sf0.1, by sample sort."""
+    return q.se.index_series(q.observations(spark, sf_dir, q.FLAG_KEY), q.SeriesLayout(block_rows=20_000))
+
+
 QUERIES = {
     "index_series": q.QUERIES["index_series"],
-    "index_series_blocks": q.QUERIES["index_series_blocks"],
+    "index_series_long": index_long,
     "change_rate": q.QUERIES["change_rate"],
     "mine_all_rules": q.QUERIES["mine_all_rules"],
     "forecast_multiorder": q.QUERIES["forecast_multiorder"],
     "score_models": q.score_models,
     "evaluate_population_relational": partial(q.evaluate, "relational"),
     "evaluate_population_batch": partial(q.evaluate, "batch"),
-    "evaluate_population_blocks": q.QUERIES["evaluate_population_blocks"],
     "next_generation": q.next_generation,
 }
 #: A whole search is timed on the smaller scale beside SF_DIR, if there is one.
