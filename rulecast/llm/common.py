@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulecast.settle import scratch_path
+from rulecast.settle import discard, scratch_path
 
 #: Ids (8 bytes each) that may be broadcast; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -67,14 +70,36 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Folders that the innermost stored_alone under way has to delete.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back: no lineage is left
     and no executor holds the only copy."""
     path = scratch_path(df.sparkSession, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored(make(), name)``, and the tables that ``make`` stored on its way are deleted."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        out = stored(make(), name)
+        path = made.pop()
+    finally:
+        _MADE.reset(token)
+        for folder in made:
+            discard(spark, folder)
+    if (outer := _MADE.get()) is not None:
+        outer.append(path)
+    return out
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose doc_id is (or, with left_anti, is not) in the stored table
     ``ids``; broadcast only after counting it."""

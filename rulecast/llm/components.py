@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, stored_alone
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     so paths shorten by jumps. Minima are combined before they move and the joins may be
     split by adaptive execution, so a node with very many links is no bottleneck.
     """
+    return stored_alone(links.sparkSession, lambda: _components(links), "components")
+
+
+def _components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b")
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")

@@ -22,9 +22,8 @@ So no pair is lost, no list is cut, and a group of n near copies makes about n r
 first level lists are split by size bands, and prefixes are a few tokens longer than they
 must be: a pair then meets in as many short lists (SPARE), which drops chance encounters.
 
-Lists are ordered by frequency: shingles counted in at least ``FREQUENT`` texts of a
-batch, at most ``KNOWN`` of the most frequent, come last, the others by hash. The order
-has no influence on the result.
+Lists are ordered by frequency, as counted over all texts in ``CELLS`` cells of hashes (shingles
+of one cell count together), then by hash. The order has no influence on the result.
 
 Edges: texts without words (or null) have no shingles and are alone; of fewer words than a
 shingle, the whole sequence is one. Rows that share a doc_id are one document: their
@@ -44,18 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, ascii_words, keep_ids, shingles, small_batches, stored
+from .common import HASHES, ascii_words, keep_ids, shingles, small_batches, stored, stored_alone
 from .components import connected_components
 
 LIST_SIZE = 16
 SPARE = 4  # short lists in which a pair must meet, if its sets are large enough
-FREQUENT = 2  # times in CHUNK shingles
-KNOWN = 1 << 19  # shingles (6 MB) whose frequency all tasks know
-CHUNK = 2_000_000
+CELLS = 1 << 23  # bytes: the frequencies that all tasks know, by hash
+SLICE = 1 << 16
 
-BLOCK_SIZE = 100  # classes that DivideSkip takes in one block,
+BLOCK_SIZE = 1000  # classes that DivideSkip takes in one block,
 BLOCK_TOKENS = 1_000_000  # and their shingles; larger groups get a centre first
-MERGED_SIZE = 1000  # classes of a block that several overlapping ones are merged into
 LOOKED = 8  # members of a long list that give its centre
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
@@ -67,51 +64,50 @@ def text_shingles(text: str | None, k: int) -> np.ndarray:
 # -- order of the lists ----------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles, at most about KNOWN."""
+def shingle_levels(docs: DataFrame, k: int, cells: int = CELLS) -> np.ndarray:
+    """How often shingles occur, in ``cells`` cells of hashes: 8 * log2(1 + texts) in a byte.
+    A task counts all its texts in a table of fixed size, tables are added up slice by slice."""
+    width = min(cells, SLICE)
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        n = 0
+    def count(batches):
+        table = np.zeros(cells, np.uint32)
+        for batch in batches:
+            held = [text_shingles(text, k) for text in batch.column(0).to_pylist()]
+            if held:
+                np.add.at(table, np.concatenate(held) & (cells - 1), np.uint32(1))
+        if table.any():
+            parts = [pa.compress(part.tobytes(), "zstd", asbytes=True) for part in table.reshape(-1, width)]
+            for i in range(0, len(parts), 16):
+                yield pa.RecordBatch.from_arrays([pa.array([*range(i, i + len(parts[i:i + 16]))], pa.int32()), pa.array(parts[i:i + 16], pa.binary())],
+                                                 names=["slice", "counts"])
+
+    def add(batches):
+        now, total = None, None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text_shingles(text, k))
-                n += len(held[-1])
-                if n >= CHUNK:
-                    yield from count(held)
-                    held, n = [], 0
-        yield from count(held)
-
-    def count(held):
-        if held:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(counts[some].astype(np.int64))], names=["s", "n"])
-
-    counts = stored(docs.selectExpr("cast(text AS string) text").mapInArrow(run, "s bigint, n bigint")
-                    .groupBy("s").agg(F.sum("n").alias("n")), "frequent")
-    # The count from which at most KNOWN shingles are left, by a histogram of its logarithm.
-    levels = counts.groupBy(F.floor(F.log2("n") * 8).alias("level")).agg(F.count("*").alias("n")).collect()
-    least, total = 0, 0
-    for row in sorted(levels, reverse=True):
-        if total + row["n"] > KNOWN:
-            least = row["level"] + 1
-            break
-        total += row["n"]
-    table = counts.where(F.floor(F.log2("n") * 8) >= least).toArrow()
-    values, n = table.column("s").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(values)
-    return values[order], np.minimum(n[order], 1 << 30).astype(np.int32)
-
-
-def in_list_order(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number != now:
+                    if now is not None:
+                        yield level(now, total)
+                    now, total = number, np.zeros(width, np.int64)
+                total += np.frombuffer(pa.decompress(packed, 4 * width, "zstd", asbytes=True), np.uint32)
+        if now is not None:
+            yield level(now, total)
+
+    def level(number, total):
+        levels = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
+
+    counted = docs.selectExpr("cast(text AS string) text").mapInArrow(count, "slice int, counts binary")
+    summed = counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, levels binary")
+    levels = np.zeros(cells, np.uint8)
+    for row in summed.toLocalIterator():  # ``cells`` bytes in all, whatever the corpus
+        levels[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(row["levels"], np.uint8)
+    return levels
+
+
+def in_list_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """``tokens`` (sorted) with those of rare lists first."""
-    values, counts = known
-    if not len(values) or not len(tokens):
-        return tokens
-    at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
-    frequency = np.where(values[at] == tokens, counts[at], 0)
-    return tokens[np.argsort(frequency, kind="stable")]
+    return tokens[np.argsort(levels[tokens & (len(levels) - 1)], kind="stable")]
 
 
 # -- one block: DivideSkip ---------------------------------------------------
@@ -255,7 +251,7 @@ def blocks_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("block"), F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("b")).distinct())
 
 
-def differences(groups: DataFrame, sets: DataFrame, known, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+def differences(groups: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     """One round in long lists: links (a, b) with the member of least weight, and the rows
     (gid, id, n, w, least, open, delta) of the remaining search."""
     both = groups.select("gid", "id").join(sets, "id").join(stored(centres(groups, sets), "centres"), "gid").select("gid", "id", "tokens", "lead")
@@ -302,15 +298,14 @@ def merged_blocks(blocks: DataFrame) -> DataFrame:
     marked = stored(blocks.join(lowest, "block").distinct(), "marked")
     union = marked.select("lo", "id", "n").distinct()
     fit = stored(union.groupBy("lo").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
-                 .where(f"size <= {MERGED_SIZE} AND tokens <= {BLOCK_TOKENS}").select("lo"), "merged")
+                 .where(f"size <= {BLOCK_SIZE} AND tokens <= {BLOCK_TOKENS}").select("lo"), "merged")
     return union.join(fit, "lo", "left_semi").select(F.col("lo").alias("block"), "id").union(
         marked.join(fit, "lo", "left_anti").select("block", "id"))
 
 
-def prefixes_of(members: DataFrame, known, p: int, q: int) -> DataFrame:
+def prefixes_of(members: DataFrame, shared, p: int, q: int) -> DataFrame:
     """Rows for ``short_lists``: of each member's differences the rare ones that it must have
     in common with a partner."""
-    shared = members.sparkSession.sparkContext.broadcast(known)
 
     def prefixes(batches):
         for batch in batches:
@@ -333,32 +328,8 @@ def prefixes_of(members: DataFrame, known, p: int, q: int) -> DataFrame:
 # -- the join ------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text): distinct
-    ``k``-word shingles, and the smallest doc_id reachable by links of similarity p/q."""
-    small_batches(docs.sparkSession)
-    docs = docs.selectExpr("cast(doc_id AS bigint) doc_id", "cast(text AS string) text")
-    known = frequent_shingles(docs, k)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def describe(batches):
-        for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = text_shingles(text, k)
-                n = len(tokens)
-                least = -(-p * n // q)
-                sizes.append(n)
-                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
-                prefixes.append(in_list_order(tokens, shared.value)[:n - least + min(SPARE, least)] if n else tokens)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "class", "prefix"])
-
-    rows = stored(docs.mapInArrow(describe, "doc_id bigint, n bigint, class binary, prefix array<bigint>"), "sets")
-    classes = stored(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-
+def class_links(docs: DataFrame, classes: DataFrame, shared, k: int, p: int, q: int) -> DataFrame:
+    """Links (a, b) among ``classes`` (class, id, n, prefix), enough for their components."""
     # Size bands by powers of two; a set also enters the band of its largest partner.
     bands = F.array_distinct(F.expr(f"array(floor(log2(n)), floor(log2(n * {q}L div {p}L)))"))
     level = classes.select(F.explode(bands).alias("gid"), "id", "n", F.expr(f"least({SPARE}L, ceil({p}L * n / {q}L))").cast("bigint").alias("least"),
@@ -377,11 +348,11 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     sets = stored(keep_ids(docs, ids).mapInArrow(tokens, "id bigint, tokens array<bigint>"), "tokens")
     links, blocks, labels = [], [], None
     while not groups.isEmpty():
-        found, members = differences(groups, sets, known, p, q)
+        found, members = differences(groups, sets, p, q)
         links.append(stored(found.distinct(), "near"))
         labels = connected_components(reduce(DataFrame.union, links))
         small, members = in_parts(members, labels, "open")
-        more, groups = short_lists(stored(prefixes_of(members, known, p, q), "level"), p, q, False)
+        more, groups = short_lists(stored(prefixes_of(members, shared, p, q), "level"), p, q, False)
         pairs.append(stored(more, "pairs"))
         less, groups = in_parts(groups, labels)
         blocks += [small, less]
@@ -395,12 +366,42 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     if blocks:
         members = members.union(merged_blocks(reduce(DataFrame.union, blocks)))
     links.append(search_blocks(stored(members.distinct(), "blocks"), sets, p, q))
+    return reduce(DataFrame.union, links).distinct()
+
+
+def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text): distinct
+    ``k``-word shingles, and the smallest doc_id reachable by links of similarity p/q."""
+    small_batches(docs.sparkSession)
+    docs = docs.selectExpr("cast(doc_id AS bigint) doc_id", "cast(text AS string) text")
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
+
+    def describe(batches):
+        for batch in batches:
+            sizes, digests, prefixes = [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = text_shingles(text, k)
+                n = len(tokens)
+                least = -(-p * n // q)
+                sizes.append(n)
+                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
+                prefixes.append(in_list_order(tokens, shared.value)[:n - least + min(SPARE, least)] if n else tokens)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "class", "prefix"])
+
+    rows = stored(docs.mapInArrow(describe, "doc_id bigint, n bigint, class binary, prefix array<bigint>"), "sets")
+    classes = stored(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+
+    found = stored_alone(docs.sparkSession, lambda: class_links(docs, classes, shared, k, p, q), "found")
+    shared.unpersist()
     # One doc_id with several texts joins their classes.
     own = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "class")
     several = own.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id")
-    links.append(own.join(several, "doc_id").join(classes.select("class", "id"), "class")
+    links = found.union(own.join(several, "doc_id").join(classes.select("class", "id"), "class")
                  .select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
-    joined = connected_components(stored(reduce(DataFrame.union, links).distinct(), "links"))
+    joined = connected_components(links)
     labels = classes.select("class", "id").join(joined, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     return rows.join(labels, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -408,6 +409,9 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """``docs`` (all columns) with one document of each component, that of smallest id."""
-    judged = jaccard_components(docs, k, p, q)
-    gone = stored(judged.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+
+    def copies() -> DataFrame:
+        return jaccard_components(docs, k, p, q).where("doc_id <> component_id").select("doc_id").distinct()
+
+    gone = stored_alone(docs.sparkSession, copies, "near-copies")
     return keep_ids(docs, gone, "left_anti").select(*docs.columns)

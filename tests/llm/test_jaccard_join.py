@@ -1,6 +1,13 @@
-"""A doc_id with several texts unites their classes."""
+"""Classes of one doc_id, blocks of nested groups, counted frequencies, scratch tables."""
+
+import random
+from pathlib import Path
+from urllib.parse import unquote
+
+import numpy as np
 
 from rulecast.llm import jaccard_join
+from rulecast.llm.common import stored, stored_alone
 
 
 def test_doc_id_over_different_texts(spark):
@@ -9,3 +16,50 @@ def test_doc_id_over_different_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.jaccard_components(docs, 3, 90, 100).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (10, 3), (10, 3), (10, 3), (12, 3), (20, 20)]
+
+
+def test_blocks_of_nested_groups_grow_with_the_documents(spark, monkeypatch):
+    """Passages that lie in one another, each in many documents that aren't near copies."""
+    random.seed(4)
+    monkeypatch.setattr(jaccard_join, "LIST_SIZE", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SIZE", 40)
+    counts, search = [], jaccard_join.search_blocks
+
+    def counted(members, *rest):
+        counts[-1] += members.count()
+        return search(members, *rest)
+
+    monkeypatch.setattr(jaccard_join, "search_blocks", counted)
+    for n in (120, 240, 480):
+        counts.append(0)
+        rows = []
+        for i in range(n):
+            words = [f"p{j}" for j in range(24 + i % 30)] + [f"q{random.randrange(6)}-{j // 4}" for j in range(8)]
+            rows.append((i, " ".join(words + ([f"own{i}"] if i % 5 else []))))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 3, 90, 100).collect()}
+        sets = {i: set(jaccard_join.text_shingles(t, 3).tolist()) for i, t in rows}
+        want = {i: i for i in sets}
+        for a in sets:
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    low, high = sorted((want[a], want[b]))
+                    want = {i: low if c == high else c for i, c in want.items()}
+        assert got == want
+    # At most a membership for each list of a prefix (10 shingles, in 2 bands of sizes).
+    assert all(count <= 20 * n for count, n in zip(counts, (120, 240, 480)))
+
+
+def test_levels_follow_the_counts(spark):
+    docs = spark.createDataFrame([(" ".join(["a b c", *([f"x{i}"] * 2)]),) for i in range(40)] + [(None,), ("",)], "text string")
+    levels = jaccard_join.shingle_levels(docs.repartition(5), 3, 1 << 18)
+    common, own = (jaccard_join.text_shingles(t, 3)[0] & (len(levels) - 1) for t in ("a b c", "c x7 x7"))
+    assert levels[common] == int(8 * np.log2(41)) and levels[own] == 8
+    assert not jaccard_join.shingle_levels(docs.limit(0), 3, 1 << 10).any()
+
+
+def test_scratch_tables_are_deleted(spark):
+    kept = stored_alone(spark, lambda: stored(stored(spark.range(5), "one"), "two").where("id > 1"), "three")
+    assert kept.count() == 3
+    folder = Path(unquote(kept.inputFiles()[0]).split(":", 1)[1]).parent.parent
+    assert [x.name for x in folder.iterdir() if x.name.split("-")[0] in ("one", "two")] == []
