@@ -54,6 +54,7 @@ SLICE = 1 << 16
 BLOCK_SIZE = 1000  # classes that DivideSkip takes in one block,
 BLOCK_TOKENS = 1_000_000  # and their shingles; larger groups get a centre first
 LOOKED = 8  # members of a long list that give its centre
+FILTER_BITS = 1 << 26  # of the table that says which lists have several members (8 MB)
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
 
 
@@ -216,6 +217,31 @@ def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
 # -- short lists -------------------------------------------------------------
 
 
+def in_some_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """key, id, about of each token in ``rows`` (mask, id, about, prefix) that may be the key of
+    one of ``lists``, by a table of FILTER_BITS bits that all tasks know. Most tokens occur
+    once and need not be shuffled; a wrong hit costs a row, the join with the lists is exact."""
+    place = F.expr(f"key & {FILTER_BITS - 1}L")
+    words = lists.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = lists.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            mask, ids, about = (batch.column(c).to_numpy() for c in range(3))
+            prefix = batch.column(3)
+            offsets = prefix.offsets.to_numpy()
+            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            keys = prefix.values.to_numpy()[offsets[0]:offsets[-1]] ^ mask[owner]
+            some = shared.value[(keys & (FILTER_BITS - 1)) >> 6] >> (keys & 63) & 1 == 1
+            owner = owner[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(ids[owner]), pa.array(about[owner])], names=["key", "id", "about"])
+
+    return rows.select("mask", "id", "about", "prefix").mapInArrow(run, "key bigint, id bigint, about bigint")
+
+
 def short_lists(rows: DataFrame, p: int, q: int, first: bool) -> tuple[DataFrame, DataFrame]:
     """Of ``rows`` (gid, id, n, least, open, component, prefix): candidate pairs (a, b) that
     meet in enough lists of up to LIST_SIZE classes, and members (gid, id, n) of longer lists.
@@ -223,14 +249,14 @@ def short_lists(rows: DataFrame, p: int, q: int, first: bool) -> tuple[DataFrame
     the same members. A pair that meets in a longer list is searched there. Lists without an
     open member, or of one component, have nothing to find."""
     about = F.expr("shiftleft(n, 8) + least * 2 + cast(open AS int)").alias("about")
-    each = rows.select("gid", "id", about, "component", F.explode("prefix").alias("token")).select(
-        F.xxhash64("gid", "token").alias("key"), "id", "about", "component")
+    rows = rows.select(F.xxhash64("gid").alias("mask"), "id", about, "component", "prefix")
+    each = rows.select(F.explode("prefix").alias("token"), "mask", "id", "about", "component").select(
+        F.expr("token ^ mask").alias("key"), "id", "about", "component")
     lists = stored(each.groupBy("key").agg(F.count("*").alias("size"), (
         F.min("id") if first else F.xxhash64(F.count("*"), F.min("id"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))).alias("group"), F.max(F.col("about") % 2).alias("some"),
                      F.min("component").alias("lo"), F.max("component").alias("hi"))
                    .where("size > 1 AND some = 1 AND lo < hi").drop("some", "lo", "hi"), "lists")
-    each = each.drop("component")
-    met = stored(each.join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
+    met = stored(in_some_list(rows, lists).join(F.broadcast(lists) if lists.count() <= LISTS_SENT else lists, "key"), "met")
     long = met.where(F.col("size") > LIST_SIZE).select(
         F.col("group").alias("gid"), "id", F.expr("shiftright(about, 8)").alias("n")).distinct()
     short = met.where(F.col("size") <= LIST_SIZE).groupBy("key").agg(F.collect_set(F.struct("id", "about")).alias("xs"))

@@ -63,3 +63,11 @@ def test_scratch_tables_are_deleted(spark):
     assert kept.count() == 3
     folder = Path(unquote(kept.inputFiles()[0]).split(":", 1)[1]).parent.parent
     assert [x.name for x in folder.iterdir() if x.name.split("-")[0] in ("one", "two")] == []
+
+
+def test_only_tokens_of_lists_are_sent(spark):
+    rows = spark.createDataFrame([(5, 1, 0, [2, 3, -4]), (0, 2, 1, []), (9, 3, 2, [2])], "mask long, id long, about long, prefix array<long>")
+    lists = spark.createDataFrame([(2 ^ 5,), (-4 ^ 5,), (2 ^ 9,)], "key long")
+    got = sorted(map(tuple, jaccard_join.in_some_list(rows.repartition(1), lists).collect()))
+    assert got == sorted([(2 ^ 5, 1, 0), (-4 ^ 5, 1, 0), (2 ^ 9, 3, 2)])
+    assert jaccard_join.in_some_list(rows, lists.limit(0)).count() == 0
