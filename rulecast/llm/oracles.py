@@ -8,7 +8,7 @@ from .queries import LISTED_HOSTS
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 _LINES = rf"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 each AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM raw),
@@ -31,9 +31,18 @@ wide AS (
 later AS (SELECT doc_id, unit, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, unit) AS copy FROM wide),
 gone AS (SELECT DISTINCT doc_id, unit + i AS unit FROM later JOIN range(3) t(i) ON i < n WHERE copy > 1),
 lists AS (SELECT doc_id, count(*) AS n, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS removed FROM gone GROUP BY 1),
-counts AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
-SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.removed, '') AS removed
-FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN lists l USING (doc_id)"""
+counts AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1),
+grown AS (
+  SELECT doc_id, unit, 1 AS n, words, doc_id::HUGEINT * 100000000 + unit AS place,
+    min(doc_id::HUGEINT * 100000000 + unit) OVER (PARTITION BY plain) AS earliest, count(*) OVER (PARTITION BY plain) AS met FROM lines
+  UNION ALL
+  SELECT g.doc_id, g.unit, g.n + 1, g.words + l.words, g.place,
+    min(g.place) OVER (PARTITION BY g.earliest, l.plain), count(*) OVER (PARTITION BY g.earliest, l.plain)
+  FROM grown g JOIN lines l ON l.doc_id = g.doc_id AND l.unit = g.unit + g.n WHERE g.met > 1),
+longest AS (SELECT doc_id, max(n) AS n FROM grown WHERE place > earliest AND (n >= 3 OR words >= 20) GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.removed, '') AS removed,
+  coalesce(r.n, 0)::BIGINT AS longest_run
+FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN lists l USING (doc_id) LEFT JOIN longest r USING (doc_id)"""
 
 SUBSTRING_DEDUP = f"""{_LINES},
 starts AS (

@@ -8,9 +8,10 @@ from rulecast.llm import line_dedup, substring_dedup
 
 
 def brute(rows, min_lines, long_words):
-    """Removed lines of each document, by the longest run from each line that begins earlier too."""
+    """Removed lines and longest removed run of each document, by the longest run from each
+    line that begins earlier too."""
     places = [(i, u) for i, lines in sorted(rows.items()) for u in range(len(lines))]
-    gone = {i: set() for i in rows}
+    gone, most = {i: set() for i in rows}, dict.fromkeys(rows, 0)
     for n, (i, u) in enumerate(places):
         longest = 0
         for j, v in places[:n]:
@@ -21,7 +22,8 @@ def brute(rows, min_lines, long_words):
         run = rows[i][u:u + longest]
         if longest >= min_lines or longest and sum(len(x.split()) for x in run) >= long_words:
             gone[i] |= {*range(u, u + longest)}
-    return {i: ",".join(map(str, sorted(g))) for i, g in gone.items()}
+            most[i] = max(most[i], longest)
+    return {i: (",".join(map(str, sorted(g))), most[i]) for i, g in gone.items()}
 
 
 def test_two_line_run_of_many_words_goes(spark):
@@ -40,10 +42,37 @@ def test_runs_against_brute_force(spark, min_lines, long_words):
     rows[40] = rows[7] * 2
     docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")
     # Of rows equal in text each is a document of its own, as their ids differ.
-    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs, min_lines, long_words).collect()}
+    got = {r["doc_id"]: (r["removed"], r["longest_run"]) for r in line_dedup.line_report(docs, min_lines, long_words).collect()}
     assert got == brute(rows, min_lines, long_words)
 
 
+def test_every_line_knows_its_longest_earlier_run(spark):
+    """Copies of 1 to 40 lines, runs within runs, and a text that repeats itself."""
+    random.seed(4)
+    page = [f"p{i}" for i in range(40)]
+    rows = {0: page, 1: ["a", *page[3:30], "b", *page[20:24]], 2: page[5:28] + page[9:40], 3: ["a", "b"] * 17, 4: page, 5: ["a"] * 9 + page[39:]}
+    for i in range(6, 20):
+        at = random.randrange(35)
+        rows[i] = [f"own{i}", *page[at:at + random.randrange(1, 30)], *["a", "b"] * random.randrange(5)]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")
+    lines = line_dedup.text_units(docs, "line", fold=False)
+    got = {(r["d"], r["unit"]): (r["run"], r["words"], (r["first"]["d"], r["first"]["unit"])) for r in line_dedup.repeated_runs(lines).collect()}
+    places = [(i, u) for i, x in sorted(rows.items()) for u in range(len(x))]
+    want = {}
+    for n, (i, u) in enumerate(places):
+        best = (0, None)
+        for j, v in places[:n]:
+            k = 0
+            while u + k < len(rows[i]) and v + k < len(rows[j]) and rows[i][u + k] == rows[j][v + k]:
+                k += 1
+            if k > best[0]:
+                best = (k, (j, v))
+        if best[0]:
+            want[i, u] = (best[0], best[0], best[1])  # a word a line
+    assert got == want
+    assert line_dedup.repeated_runs(lines.limit(0)).count() == 0
+
+
 def test_columns_named_like_the_keys(spark):
     schema = "doc_id long, text string, d int, th string, unit int, `row` int, gone_units string, `a``b.c` int"
     rows = [(i, "x y\n" * 3 + "own" * i, 7, "t", 8, 9, "g", 10) for i in range(3)]
