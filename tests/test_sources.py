@@ -70,3 +70,28 @@ def test_folders_and_stray_files(spark, tmp_path):
     (tmp_path / "stray.txt").write_text("2014/1/2\t1\t2\t3\t4\t5\n")
     rows = src.read_observations(spark, str(tmp_path)).collect()
     assert sorted(r["symbol"] for r in rows) == ["C/2014", "x=B/2014", "y=B/2014"]
+
+
+def test_folders_by_name(spark, folder, tmp_path):
+    """Only the named folders are opened: a malformed line elsewhere is not met."""
+    (folder / "ACME" / "bad.txt").write_text("no line\n")
+    one = src.read_observations(spark, str(folder), folders=["B+C d", "none"])
+    assert [r["symbol"] for r in one.collect()] == ["B+C d/2014"]
+    assert all("/ACME/" not in f for f in one.inputFiles())
+    assert src.read_observations(spark, str(folder), folders=["none"]).count() == 0
+    assert src.skip_malformed(spark, str(folder), folders=["ACME"]).count() == 3
+    odd = ["a{b", "a*", "a", "x:y?", "p%q=r"]
+    rows = spark.createDataFrame([(n, float(i)) for n in odd for i in range(40)], "folder string, v double")
+    target = str(tmp_path / "odd")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # of such small tasks
+    spark.conf.set(merging, "false")
+    try:
+        src.write_observations(rows.selectExpr("folder", "timestamp '2014-01-02' as ts", "v"), target, ("v",) * 5, rows_a_file=10)
+    finally:
+        spark.conf.unset(merging)
+    counts = src.read_observations(spark, target).groupBy("symbol").count().collect()
+    assert {tuple(r) for r in counts} == {(f"{n}/2014", 40) for n in odd}
+    for name in odd:
+        part = src.read_observations(spark, target, folders=[name])
+        assert {r["symbol"] for r in part.collect()} == {f"{name}/2014"} and part.count() == 40
+        assert len(part.inputFiles()) > 1

@@ -437,6 +437,10 @@ ORACLES: dict[str, str] = {
         "SELECT l_shipdate AS timestamp, l_suppkey || '/' || year(l_shipdate) AS symbol, l_extendedprice AS price,"
         " l_quantity AS roc, l_discount AS stod, l_tax AS kdj, l_linenumber::DOUBLE AS macd FROM lineitem"
     ),
+    "read_folders": (
+        "SELECT l_shipdate AS timestamp, l_suppkey || '/' || year(l_shipdate) AS symbol, l_extendedprice AS price,"
+        " l_quantity AS roc, l_discount AS stod, l_tax AS kdj, l_linenumber::DOUBLE AS macd FROM lineitem WHERE l_suppkey IN (3, 7)"
+    ),
     "derive_series_key": query([OBS], "SELECT key, count(*) AS n FROM obs GROUP BY key"),
     "index_series": query(WHOLE, f"SELECT key, i, ts, {VALUES} FROM series"),
     "series_keys": query([OBS], "SELECT DISTINCT key FROM obs"),
