@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, ascii_words, keep_ids, shingles, small_batches, stored, stored_alone
+from .common import BROADCAST_IDS, HASHES, ascii_words, keep_ids, shingles, small_batches, stored, stored_alone
 from .components import connected_components
 
 LIST_SIZE = 16
@@ -56,6 +56,7 @@ BLOCK_TOKENS = 1_000_000  # and their shingles; larger groups get a centre first
 LOOKED = 8  # members of a long list that give its centre
 FILTER_BITS = 1 << 26  # of the table that says which lists have several members (8 MB)
 LISTS_SENT = 300_000  # rows of list sizes that may be broadcast
+OWN_IDS = 1 << 62  # from here on, a name for each further text of a doc_id
 
 
 def text_shingles(text: str | None, k: int) -> np.ndarray:
@@ -434,10 +435,23 @@ def jaccard_components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """``docs`` (all columns) with one document of each component, that of smallest id."""
+    """``docs`` (all columns) with one document of each component, that of smallest id. A
+    document is a doc_id and a text: of a doc_id with several texts each is judged on its
+    own, and all but one of them come after every plain doc_id. Rows equal in both stay or go
+    together, rows without a doc_id stay."""
+    spark = docs.sparkSession
+    key, text = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+    texts = stored(docs.select(key.alias("id"), text.alias("th")).groupBy("id").agg(F.min("th").alias("least"), F.max("th").alias("most"))
+                   .where("id IS NOT NULL AND least <> most").select("id", "least"), "several-texts")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+    rows = docs.select(key.alias("id"), text.alias("th"), row)
+    met = rows.join(F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts, "id", "left")
+    own = F.xxhash64("id", "th").bitwiseAND(F.lit(OWN_IDS - 1)).bitwiseOR(F.lit(OWN_IDS))
+    named = met.select(F.when(F.col("th") > F.col("least"), own).otherwise(F.col("id")).alias("doc_id"), "row")
 
     def copies() -> DataFrame:
-        return jaccard_components(docs, k, p, q).where("doc_id <> component_id").select("doc_id").distinct()
+        plain = named.select("doc_id", F.col("row.text").alias("text"))
+        return jaccard_components(plain, k, p, q).where("doc_id <> component_id").select("doc_id").distinct()
 
-    gone = stored_alone(docs.sparkSession, copies, "near-copies")
-    return keep_ids(docs, gone, "left_anti").select(*docs.columns)
+    gone = stored_alone(spark, copies, "near-copies")
+    return keep_ids(named, gone, "left_anti").select("row.*")

@@ -18,6 +18,18 @@ def test_doc_id_over_different_texts(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (10, 3), (10, 3), (10, 3), (12, 3), (20, 20)]
 
 
+def test_one_document_is_a_doc_id_and_a_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(3, a), (10, a), (10, b), (11, c), (11, d), (12, d), (11, d), (20, c), (None, a), (21, None), (21, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, id int, th int, `row` int")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.schema == docs.schema
+    got = [tuple(r)[:2] for r in kept.collect()]
+    assert sorted((g for g in got if g[1] not in (c, d)), key=str) == sorted([(3, a), (10, b), (None, a), (21, None), (21, "")], key=str)
+    assert {g[1] for g in got} == {a, b, c, d, None, ""}
+    assert len({g for g in got if g[1] == c}) == len({g for g in got if g[1] == d}) == 1
+
+
 def test_blocks_of_nested_groups_grow_with_the_documents(spark, monkeypatch):
     """Passages that lie in one another, each in many documents that aren't near copies."""
     random.seed(4)
