@@ -2,13 +2,15 @@
 
 Two logistic regressions see different views of a document: its text (hashed words and
 character statistics) or its metadata (source, language, length). Both start from a
-bounded sample of labelled documents. In each round both label a pool of unlabelled
-documents, and what one is confident of is added to the other's training set. The two
-are then calibrated on labelled documents kept aside (Platt scaling) and their log odds
+bounded sample of labelled documents. In each round both label all unlabelled documents
+(their features are stored once), and what one is confident of teaches the other: Spark counts
+the confident documents by label and group of sources, and ``TAUGHT`` of them, dealt evenly
+over these strata, stand for all, each with the weight of its stratum. The two are then
+calibrated on labelled documents kept aside (Platt scaling) and their log odds
 added, less the prior counted twice. All documents are scored.
 
-``SAMPLE`` labelled and ``POOL`` unlabelled documents, those of smallest hash of their
-id, are all that fitting uses, whatever the corpus; only their features pass the driver.
+``SAMPLE`` labelled documents, those of smallest hash of their id, and in each round and view about
+``TAUGHT`` pseudo-labels are all whose features pass the driver, whatever the corpus.
 A document is bad if its quality is 0 or it is toxic.
 
 Edges: null texts are empty; null or conflicting labels count as given, row by row (rows
@@ -20,16 +22,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, small_batches
+from rulecast.settle import discard, scratch_path
+
+from .common import HASHES, keep_ids, small_batches
 from .decontamination import _TABLE
 
 SAMPLE = 6000
-POOL = 3000
-ROUNDS = 3
-ADDED = 200  # pseudo-labels a round and view, at most
+ROUNDS = 3  # of exchange
+TAUGHT = 1000  # pseudo-labels a round and view that stand for all
+TRUST = 0.25  # weight of all pseudo-labels of a view beside the labels, at most
 CONFIDENT = 0.95
 BUCKETS = 1 << 16
 WORDS = 1500  # buckets a text model uses, those that differ most between classes
@@ -38,6 +43,7 @@ THRESHOLD = 0.5
 _BLANKS = b" \t\n\x0b\x0c\r"
 _CLASSES = [bytes(range(65, 91)), b"0123456789", b"#*$%&<>", b"|", b"!", b".,;:?", _BLANKS]
 N_STATS = len(_CLASSES) + 4
+META = 80
 
 
 def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +60,10 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.array(stats, np.float32)
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """Hashed source and language, and a step function of the length."""
-    out = np.zeros(80, np.float32)
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
+    """The columns of META that are 1: hashed source, hashed language, and the length's step."""
     name = HASHES.of([f"source {source}".encode(), f"lang {lang}".encode()])
-    out[int(name[0] % np.uint64(48))] = 1
-    out[48 + int(name[1] % np.uint64(16))] = 1
-    out[64 + min(15, int(np.log2(1 + max(0, n_chars or 0))))] = 1
-    return out
+    return [int(name[0] % np.uint64(48)), 48 + int(name[1] % np.uint64(16)), 64 + min(15, int(np.log2(1 + max(0, n_chars or 0))))]
 
 
 def _sigmoid(x):
@@ -122,35 +124,32 @@ class MetaModel:
 
 
 class CoTrained:
-    """The two models with their calibration."""
+    """The two models with their calibration. ``teach`` gives, for the models of a round, what
+    each view learns from the other: views, labels and weights by its name."""
 
-    def __init__(self, views: dict, y: np.ndarray, pool: dict):
+    def __init__(self, views: dict, y: np.ndarray, teach=None, rounds: int = ROUNDS):
         aside = np.arange(len(y)) % 4 == 0
         fit, held = np.flatnonzero(~aside), np.flatnonzero(aside)
-        extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # pool row -> label
-        for turn in range(ROUNDS + 1):
-            self.text = TextModel(*self._joined(views, pool, fit, y, extra["text"], "text"))
-            self.meta = MetaModel(*self._joined(views, pool, fit, y, extra["meta"], "meta"))
-            if turn == ROUNDS or not len(pool["meta"]):
-                break
-            for name, other in (("text", "meta"), ("meta", "text")):
-                odds = self._odds(pool, np.arange(len(pool["meta"])))[name]
-                sure = np.abs(odds) >= np.log(CONFIDENT / (1 - CONFIDENT))
-                for i in [i for i in np.argsort(-np.abs(odds), kind="stable") if sure[i] and i not in extra[other]][:ADDED]:
-                    extra[other][int(i)] = float(odds[i] > 0)
+        lessons: dict = {}
+        for turn in range(rounds + 1):
+            self.text = TextModel(*self._joined(views, fit, y, lessons.get("text"), ("buckets", "stats")))
+            self.meta = MetaModel(*self._joined(views, fit, y, lessons.get("meta"), ("meta",)))
+            if turn < rounds and teach:
+                lessons = teach(self)
         odds = self._odds(views, held)
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         self.platt = {k: logistic(o[:, None], y[held], np.ones(len(held)), penalty=1e-3, steps=400) for k, o in odds.items()}
 
     @staticmethod
-    def _joined(views, pool, fit, y, extra, name):
-        at = list(extra)
-        label = np.r_[y[fit], [extra[i] for i in at]]
-        weight = np.r_[np.ones(len(fit)), np.full(len(at), 0.5)]
-        if name == "meta":
-            return np.concatenate([views["meta"][fit], pool["meta"][at]]) if at else views["meta"][fit], label, weight
-        return ([views["buckets"][i] for i in fit] + [pool["buckets"][i] for i in at],
-                np.concatenate([views["stats"][fit], pool["stats"][at]]) if at else views["stats"][fit], label, weight)
+    def _joined(views, fit, y, lesson, parts):
+        chosen = [[views[k][i] for i in fit] for k in parts]
+        label, weight = y[fit], np.ones(len(fit))
+        if lesson:
+            learned, its_label, its_weight = lesson
+            chosen = [[*c, *learned[k]] for c, k in zip(chosen, parts)]
+            label = np.r_[label, its_label]
+            weight = np.r_[weight, its_weight * min(1, TRUST * len(fit) / its_weight.sum())]
+        return [c if k == "buckets" else np.array(c) for c, k in zip(chosen, parts)] + [label, weight]
 
     def _odds(self, views: dict, rows: np.ndarray) -> dict[str, np.ndarray]:
         return {"text": self.text.odds([views["buckets"][i] for i in rows], views["stats"][rows]), "meta": self.meta.odds(views["meta"][rows])}
@@ -161,10 +160,16 @@ class CoTrained:
         return _sigmoid(total)
 
 
+def _dense(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), META), np.float32)
+    np.put_along_axis(out, places, 1, 1)
+    return out
+
+
 def views_of(texts, sources, langs, sizes) -> dict:
     seen = [text_view(t) for t in texts]
     return {"buckets": [b for b, _ in seen], "stats": np.array([s for _, s in seen], np.float32).reshape(-1, N_STATS),
-            "meta": np.array([meta_view(*m) for m in zip(sources, langs, sizes)], np.float32).reshape(-1, 80)}
+            "meta": _dense(np.array([meta_view(*m) for m in zip(sources, langs, sizes)], np.int64).reshape(-1, 3))}
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -172,39 +177,111 @@ def _columns(docs: DataFrame) -> DataFrame:
                            "cast(lang AS string) lang", "cast(n_chars AS bigint) n_chars")
 
 
-def _gathered(rows: DataFrame) -> dict:
-    """Views of a bounded number of rows, made by tasks."""
+_FEATURES = "row bigint, y double, buckets array<int>, stats array<float>, places array<int>"
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """A hash of doc_id and text, y, and the two views of every row."""
+
+    def lists(arrays: list, kind) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0)]), kind, safe=False))
 
     def run(batches):
         for batch in batches:
-            text, source, lang, size, y = (c.to_pylist() for c in batch.columns[1:6])
-            v = views_of(text, source, lang, size)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(y, pa.float64()), pa.array([b.tolist() for b in v["buckets"]], pa.list_(pa.int32())),
-                pa.array(v["stats"].tolist(), pa.list_(pa.float32())), pa.array(v["meta"].tolist(), pa.list_(pa.float32()))],
-                names=["doc_id", "y", "buckets", "stats", "meta"])
+            text, source, lang, size = (c.to_pylist() for c in batch.columns[2:6])
+            seen = [text_view(t) for t in text]
+            places = [meta_view(*m) for m in zip(source, lang, size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lists([b for b, _ in seen], pa.int32()), lists([x for _, x in seen], pa.float32()),
+                 lists(places, pa.int32())], names=["row", "y", "buckets", "stats", "places"])
 
-    table = rows.mapInArrow(run, "doc_id bigint, y double, buckets array<int>, stats array<float>, meta array<float>").toArrow()
-    got = sorted(zip(*(table.column(c).to_pylist() for c in table.schema.names)), key=lambda r: (r[0], r[1] or 0))
-    return {"y": np.array([r[1] for r in got], float), "buckets": [np.array(r[2], np.int32) for r in got],
-            "stats": np.array([r[3] for r in got], np.float32).reshape(-1, N_STATS), "meta": np.array([r[4] for r in got], np.float32).reshape(-1, 80)}
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.col("y").cast("double").alias("y"), "text", "source", "lang", "n_chars").mapInArrow(run, _FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    docs = _columns(docs)
-    bad = labels.selectExpr("cast(doc_id AS bigint) doc_id", "cast(quality = 0 OR toxic = 1 AS double) y").where("doc_id IS NOT NULL AND y IS NOT NULL")
-    order = F.xxhash64("doc_id", F.lit("quality sample"))
-    known = bad.orderBy(order, "y").limit(SAMPLE)
-    views = _gathered(docs.join(F.broadcast(known), "doc_id"))
-    if len(set(views["y"].tolist())) < 2:
-        return None
-    pool = docs.select("doc_id").join(bad.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").orderBy(order).limit(POOL)
-    return CoTrained(views, views["y"], _gathered(docs.join(F.broadcast(pool.distinct()), "doc_id").withColumn("y", F.lit(0.0))))
+def _views(table: pa.Table | pa.RecordBatch) -> dict:
+    """The views in rows of _features, as numpy views of Arrow's buffers."""
+    columns = {}
+    for name in ("buckets", "stats", "places"):
+        column = table.column(name)
+        columns[name] = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends, values = columns["buckets"].offsets.to_numpy(), columns["buckets"].values.to_numpy()
+    return {"buckets": [values[a:b] for a, b in zip(ends[:-1], ends[1:])],
+            "stats": columns["stats"].flatten().to_numpy().reshape(-1, N_STATS),
+            "meta": _dense(columns["places"].flatten().to_numpy().astype(np.int64).reshape(-1, 3))}
+
+
+_CONFIDENT = "pupil string, row bigint, label double, stratum int"
+
 
+def _confident(pool: DataFrame, model: CoTrained) -> DataFrame:
+    """pupil, row, label and stratum (of sources) of what one view is sure of."""
+    shared = pool.sparkSession.sparkContext.broadcast((model.text, model.meta))
+    least = np.log(CONFIDENT / (1 - CONFIDENT))
 
-def _scorer(docs: DataFrame, labels: DataFrame):
+    def run(batches):
+        text, meta = shared.value
+        for batch in batches:
+            v = _views(batch)
+            source = v["meta"][:, :48].argmax(1)
+            for pupil, odds in (("meta", text.odds(v["buckets"], v["stats"])), ("text", meta.odds(v["meta"]))):
+                sure = np.flatnonzero(np.abs(odds) >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pupil] * len(sure)).cast(pa.string()), batch.column(0).take(pa.array(sure)),
+                     pa.array((odds[sure] > 0).astype(float)), pa.array(source[sure].astype(np.int32))], names=["pupil", "row", "label", "stratum"])
+
+    return pool.mapInArrow(run, _CONFIDENT)
+
+
+def _teacher(pool: DataFrame, scratch: str):
+    """For a model, the lessons of all rows of ``pool``: TAUGHT of each view's, by strata. (There are
+    at most 2 x 2 x 48 strata, and about TAUGHT rows a view.)"""
+    spark = pool.sparkSession
+
+    def teach(model: CoTrained) -> dict:
+        path = scratch_path(spark, f"{scratch}-confident")
+        _confident(pool, model).write.parquet(path)
+        sure = spark.read.schema(_CONFIDENT).parquet(path)
+        sizes = sure.groupBy("pupil", "label", "stratum").count()
+        quota = sizes.groupBy("pupil").agg(F.expr(f"{TAUGHT} / count(*)").alias("quota"))
+        rates = sizes.join(F.broadcast(quota), "pupil").selectExpr("pupil", "label", "stratum", "least(1D, quota / count) AS rate")
+        # a share of the hash's range; the rows drawn stand for their whole stratum
+        chosen = (sure.join(F.broadcast(rates), ["pupil", "label", "stratum"]).where("pmod(row, 1000003) < rate * 1000003")
+                  .select("pupil", "row", "label", (1 / F.col("rate")).alias("weight")).distinct())
+        table = pool.join(F.broadcast(chosen), "row").orderBy("row").toArrow()
+        discard(spark, path)
+        lessons = {}
+        for pupil in ("text", "meta"):
+            part = table.filter(pa.compute.equal(table.column("pupil"), pupil))
+            if part.num_rows:
+                lessons[pupil] = (_views(part), part.column("label").to_numpy(), part.column("weight").to_numpy())
+        return lessons
+
+    return teach
+
+
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
+    spark, docs = docs.sparkSession, _columns(docs)
+    bad = labels.selectExpr("cast(doc_id AS bigint) doc_id", "cast(quality = 0 OR toxic = 1 AS double) y").where("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = bad.orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "y").limit(SAMPLE)
+    table = _features(docs.join(F.broadcast(known), "doc_id")).toArrow().sort_by([("row", "ascending"), ("y", "ascending")])
+    views, y = _views(table), table.column("y").to_numpy()
+    if len(set(y.tolist())) < 2:
+        return None
+    if not rounds:
+        return CoTrained(views, y)
+    path = scratch_path(spark, "unlabelled")
+    pool = keep_ids(docs, bad.select("doc_id").distinct(), "left_anti").withColumn("y", F.lit(None))
+    _features(pool).write.parquet(path)
+    try:
+        return CoTrained(views, y, _teacher(spark.read.schema(_FEATURES).parquet(path), "quality"), rounds)
+    finally:
+        discard(spark, path)
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, rounds: int):
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rounds))
 
     def score(columns: list) -> list:
         if model.value is None:
@@ -217,10 +294,10 @@ def _scorer(docs: DataFrame, labels: DataFrame):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, bad_score (0 to 1) and kept for every row of ``docs`` (doc_id, text, source,
     lang, n_chars); ``labels`` has doc_id, quality and toxic."""
-    score = _scorer(docs, labels)
+    score = _scorer(docs, labels, rounds)
 
     def run(batches):
         for batch in batches:
@@ -232,9 +309,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _columns(docs).mapInArrow(run, "doc_id bigint, bad_score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (all columns) without the rejected documents."""
-    score = _scorer(docs, labels)
+    score = _scorer(docs, labels, rounds)
     names = [docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
     def run(batches):
