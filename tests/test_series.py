@@ -127,3 +127,18 @@ def test_ranges_follow_rows_and_not_the_clock(spark):
     places = rows(numbered(data.select("v0"), ["v0"], 7).groupBy().agg(F.countDistinct("pos"), F.max("pos")))
     assert places == [(27001, 27000)]
     assert numbered(data.limit(0), ["v0"], 7).isEmpty()
+
+
+def test_short_blocks_do_not_make_more_ranges_than_tasks():
+    """36 million rows in blocks of 250 were 288,000 ranges."""
+    assert se.range_count(36_000_000, SeriesLayout(block_rows=250), 200) == 200
+    assert se.range_count(200_000_000, SeriesLayout(block_rows=250), 200) == 800
+    assert se.range_count(1_000, SeriesLayout(block_rows=250), 200) == 8
+
+
+def test_blocks_grow_with_the_table(spark):
+    from rulecast.operators.layout import BLOCK_ROWS, MANY_BLOCKS, grow_blocks
+
+    few, many, most = (spark.range(n) for n in (1_000, MANY_BLOCKS * 300, MANY_BLOCKS * BLOCK_ROWS * 2))
+    layout = SeriesLayout(block_rows=250)
+    assert [grow_blocks(layout, t).block_rows for t in (few, many, most)] == [250, 300, BLOCK_ROWS]
