@@ -274,3 +274,49 @@ def test_repair_and_trim_spare_the_elite(spark):
     search = po.Search(population=3, elite=1, tournament=2)
     trimmed = {r["ind"]: r["c1"] for r in po.trim_cuts(population, search).collect()}
     assert len(trimmed[0]) == 12 and len(trimmed[1]) == 9
+
+
+def test_series_of_one_block_are_scored_at_once(spark, train, monkeypatch):
+    """Only longer series send their counts through Spark."""
+    from rulecast.plans import batch_fitness
+
+    population = po.init_population(se.series_range(train, WHOLE), SEARCH, 3)
+
+    def scores(layout):
+        rows = training.evaluate_population(train, population, layout, SEARCH.sets).collect()
+        return {(r["key"], r["model"], r["ind"]): r["fitness"] for r in rows}
+
+    whole, mixed = scores(WHOLE), scores(SeriesLayout(block_rows=12))
+    monkeypatch.setattr(batch_fitness, "_in_blocks", None)
+    at_once = scores(SeriesLayout(block_rows=1_000))
+    assert whole.keys() == mixed.keys() == at_once.keys() and any(whole.values())
+    for who, fitness in whole.items():
+        for other in (mixed, at_once):
+            assert other[who] == (fitness and pytest.approx(fitness))
+
+
+def test_many_series_are_scored_at_a_time(spark):
+    """Each as if it were alone; a series without a name is one of its own."""
+    rows = [(k, i, float(100 + (i * 7 + j) % 13), float((i * 5 + j) % 4)) for j, k in enumerate(["a", "b", "c", None]) for i in range(20 + j)]
+    series = spark.createDataFrame(rows, "key string, i bigint, v0 double, v1 double")
+    people = [(k, 1, ind, [-0.05, 0.0, 0.02 * ind + 0.01], [0.5, 1.5 + ind]) for k in ("a", "b", "c", None, "none") for ind in range(3)]
+    population = spark.createDataFrame(people, "key string, model int, ind int, c0 array<double>, c1 array<double>")
+    alone = []
+    for name in ("a", "b", "c"):
+        alone += training.evaluate_population(
+            series.where(f"key = '{name}'"), population.where(f"key = '{name}'"), WHOLE).collect()
+    got = {(r["key"], r["ind"]): r["fitness"] for r in training.evaluate_population(series, population, WHOLE).collect()}
+    assert len(got) == 15 and all(got[r["key"], r["ind"]] == pytest.approx(r["fitness"]) for r in alone)
+    assert all(got[None, ind] > 0 for ind in range(3)) and all(got["none", ind] is None for ind in range(3))
+    relational = training.evaluate_population(series, population, WHOLE, strategy="relational").collect()
+    assert all(got[r["key"], r["ind"]] == pytest.approx(r["fitness"]) for r in relational if r["fitness"] is not None)
+    assert sum(r["fitness"] is not None for r in relational) == 9
+
+
+def test_a_batch_is_scored_in_shares():
+    import numpy as np
+
+    from rulecast.plans.batch_fitness import _CELLS, _shares
+
+    cells = np.array([_CELLS * 2, 1, _CELLS - 1, 1, 5])
+    assert [part.tolist() for part in _shares(cells)] == [[0], [1, 2], [3, 4]]
