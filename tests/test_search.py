@@ -320,3 +320,15 @@ def test_a_batch_is_scored_in_shares():
 
     cells = np.array([_CELLS * 2, 1, _CELLS - 1, 1, 5])
     assert [part.tolist() for part in _shares(cells)] == [[0], [1, 2], [3, 4]]
+
+
+def test_series_of_sorted_frames():
+    """Series may go on over frames; a missing key is one of its own."""
+    import pandas as pd
+
+    keys = [None, None, "a", "a", "a", "b", "c", "c"]
+    rows = pd.DataFrame({"key": keys, "i": range(8)})
+    for size in (1, 2, 3, 8):
+        frames = [rows.iloc[at:at + size] for at in range(0, 8, size)]
+        got = [part["i"].tolist() for part in training._one_series_each(iter([rows.head(0), *frames]))]
+        assert got == [[0, 1], [2, 3, 4], [5], [6, 7]]
