@@ -9,6 +9,7 @@ from ..operators.forecast import first_moves, forecast_terms, price_from_rate, r
 from ..operators.layout import SeriesLayout
 from ..operators.rules import Sets, antecedent_counts, covariate_terms, forecast_steps
 from ..operators.series import series_keys
+from .batch_fitness import STRATEGIES, batch_scores
 
 
 def score_models(
@@ -20,6 +21,7 @@ def score_models(
     consequent: str = "by_position",
     rate_divisor: float = 100.0,
     align_test: bool = False,
+    strategy: str = "batch",
 ) -> DataFrame:
     """``(key, model, rmse)``: rules of each model are mined from ``train`` and
     forecast ``test``; keys missing in any of the three tables drop out. A test series of
@@ -27,9 +29,18 @@ def score_models(
 
     ``train`` and ``test`` are indexed series. They are read more than once, so
     pass written or settled tables rather than long plans.
+
+    ``batch`` mines and forecasts in Arrow batches of many series, where the layout proves
+    that all are short; ``relational``, and ``batch`` for longer ones, forms a row for each
+    antecedent of a step. Both give the same.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
     terms = covariate_terms(models)
     known = models.join(series_keys(train), "key").join(series_keys(test), "key")
+    if terms and strategy == "batch" and layout.whole_keys:
+        tried = forecast_steps(test, layout, aligned=align_test)
+        return batch_scores(forecast_steps(train, layout), tried, known, sets, consequent, rate_divisor)
     counts = None
     if terms:
         counts = antecedent_counts(forecast_steps(train, layout), known, terms, layout, sets)

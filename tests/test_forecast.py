@@ -149,6 +149,38 @@ def test_scores(spark, tables, layout):
     assert means["a"] == pytest.approx((want["a", 1] + want["a", 2]) / 2)
 
 
+def test_scores_form_no_row_for_each_antecedent(spark, tables):
+    """Series that a task holds are scored from lists; both strategies give the same."""
+    train, test, models = tables
+    got, want = (scoring.score_models(train, test, models, WHOLE, strategy=s) for s in ("batch", "relational"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (got, want)]
+    assert ["posexplode" in plan for plan in plans] == [False, True]
+    scores = [{(r["key"], r["model"]): r["rmse"] for r in df.collect()} for df in (got, want)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+@pytest.mark.parametrize("aligned", [False, True])
+@pytest.mark.parametrize("consequent", ["by_position", "by_label"])
+def test_scores_of_odd_values(spark, consequent, aligned):
+    """NULL, NaN, infinite and zero values, short series and a missing key."""
+    nan, inf = float("nan"), float("inf")
+
+    def series(seed, lengths):
+        draw = random.Random(seed)
+        some = lambda odd, x: draw.choice(odd) if draw.random() < 0.1 else round(x, 2)
+        rows = [(key, t, some([0.0, 1.0, None, nan, inf], draw.uniform(1, 3)), *[some([None, nan], draw.random()) for _ in range(2)])
+                for key, n in lengths.items() for t in range(n)]
+        return spark.createDataFrame(rows, "key string, i bigint, v0 double, v1 double, v2 double")
+
+    lengths = {f"k{n}": n for n in range(1, 30)} | {None: 6}
+    train, test = series(1, lengths), series(2, {k: n * 7 % 13 + 1 for k, n in lengths.items()})
+    models = model_table(spark, lengths)
+    got, want = ({(r["key"], r["model"]): r["rmse"] for r in scoring.score_models(
+        train, test, models, WHOLE, consequent=consequent, align_test=aligned, strategy=s).collect()} for s in ("batch", "relational"))
+    assert len(got) == 58 and None in got.values()
+    assert got == pytest.approx(want, rel=1e-9, nan_ok=True)
+
+
 def test_two_point_test_series(spark, tables):
     train, _, _ = tables
     models = model_table(spark, ["a"])
