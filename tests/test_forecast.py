@@ -117,6 +117,16 @@ def test_multivar_and_uni(spark, tables):
                 assert [r["rate"] for r in rows] == pytest.approx(want, rel=1e-12)
 
 
+def test_forecasts_take_counts_of_their_own_rules(spark, tables):
+    """Counted antecedents of a forecaster's terms do for a table of all rules."""
+    train, test, models = tables
+    rules = ru.mine_all_rules(train, models, WHOLE)
+    for operator, terms in ((fc.forecast_uni, fc.price_terms), (fc.forecast_multivar, fc.first_terms), (fc.forecast_multiorder, ru.covariate_terms)):
+        counts = ru.antecedent_counts(ru.forecast_steps(train, WHOLE), models, terms(models), WHOLE)
+        got, want = ({(r["key"], r["model"], r["t"]): r["rate"] for r in operator(test, x, models, layout=WHOLE).collect()} for x in (counts, rules))
+        assert got == pytest.approx(want, rel=1e-12) and any(got.values())
+
+
 def test_uni_by_hand(spark):
     """Labels 0,1,0,1 under one cut: 0 is followed by 1 and 1 by 0."""
     prices = [1.0, 0.9, 1.8, 0.9, 1.8]
