@@ -2,8 +2,8 @@
 
 Tokenizer A is a byte-level BPE file of the tokenizers library, B a sentencepiece model that
 puts a space before the text; both read the text with a space in front. Per batch, the
-tokens of either side are a pandas table of document and byte place, and merge_asof, keyed by
-document, finds for each token start the token of the other side that covers it. The union of
+tokens of either side are a pandas table of document and byte place, and merge_asof, over places
+that set the documents apart, finds for each token start the token of the other side that covers it. The union of
 both directions are the overlaps. Where the covering token begins at the same byte, both
 sides ended a token before, and a new group begins. Every token of A is linked with every
 token of B in its group.
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_alphabet
 from .common import small_batches, stored
 
-CACHE_WORDS = 300_000  # words whose ids a worker remembers
+CACHE_WORDS = 300_000  # words whose ids a worker remembers,
+CACHE_IDS = 8 * CACHE_WORDS  # and their ids
 CHUNK = 1_000_000  # characters that are aligned at a time, if no single text is longer
 PAIRS_SENT = 1_000_000  # pairs of ids (16 bytes each) that may be broadcast
 SPELLED = 64  # links of a group that are written out before equal ones are counted
@@ -45,6 +46,22 @@ WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 #: Texts of these characters are divided here, as all tables of letters and blanks agree on
 #: them: tab, line ends, printable ASCII, letters of Latin scripts, dashes and quotes.
 PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f\u2010-\u2027]*")
+#: WORDS for these texts, their letters, digits and blanks spelled out.
+PLAIN_WORDS = re.compile(
+    "'(?:[sdmt]|ll|ve|re)| ?[{l}]+| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+".format(
+        l="A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", n="0-9\u00b2\u00b3\u00b9\u00bc-\u00be", s="\t\n\r "))
+
+
+class WordNumbers(dict):
+    """word -> its number, given at its first look-up; ``new`` lists the words that got one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 class Tokenizers:
@@ -70,29 +87,42 @@ class Tokenizers:
             for i in range(self.b.get_piece_size())])
         step = data.get("pre_tokenizer") or {}
         self.by_words = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not data.get("normalizer")
-        self.known: dict[str, list[int]] = {}
+        self._forget()
         self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
 
+    def _forget(self):
+        self.known = WordNumbers()
+        self.ids, self.n_ids = np.empty(0, np.int64), np.empty(0, np.int64)  # of all known words, and how many of each
+
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of A. The library merges a word once and not at each of its places."""
-        divided = [WORDS.findall(t) if self.by_words and PLAIN.fullmatch(t) else [t] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [*{w for words in divided for w in words}.difference(self.known)]
-        found = dict(zip(new, (x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False))))
-        self.known.update(found)
-        out = [[*chain.from_iterable(map(self.known.__getitem__, words))] for words in divided]
-        for word in new:  # long words and whole texts are not worth their room
-            if len(word) > 32:
-                del self.known[word]
-        return out
+        """Ids of A."""
+        return [x.tolist() for x in self._encode_a(texts)]
+
+    def _encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of A. The library merges a word once and not at each of its places, which are
+        looked up as numbers and put together in one step for all texts."""
+        divided = [(PLAIN_WORDS.findall(t) if PLAIN.fullmatch(t) else [t]) if self.by_words else [t] for t in texts]
+        if len(self.known) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self._forget()
+        words = np.array([len(x) for x in divided], np.int64)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(divided)), np.int64, int(words.sum()))
+        if self.known.new:
+            found = [x.ids for x in self.a.encode_batch_fast(self.known.new, add_special_tokens=False)]
+            self.known.new = []
+            self.n_ids = np.append(self.n_ids, [len(x) for x in found])
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.int64))
+        size = self.n_ids[number]
+        ends = np.cumsum(size)
+        at = np.repeat((np.cumsum(self.n_ids) - self.n_ids)[number] - (ends - size), size) + np.arange(size.sum())
+        edges = np.append(0, ends)[np.cumsum(words)]
+        return np.split(self.ids[at], edges[:-1]) if len(texts) else []
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none if either doesn't give back the bytes of space and text."""
         spaced = [" " + t for t in texts]
         out = []
-        for text, a, b in zip(spaced, self.encode_a(spaced), self.b.encode(texts, num_threads=1)):
-            a, b, plain = np.array(a, np.int64), np.array(b, np.int64), text.encode()
+        for text, a, b in zip(spaced, self._encode_a(spaced), self.b.encode(texts, num_threads=1)):
+            b, plain = np.array(b, np.int64), text.encode()
             same = len(plain) > 1 and all(b"".join(table[ids].tolist()) == plain for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
             out.append((a, b) if same else (a[:0], b[:0]))
         return out
@@ -124,10 +154,12 @@ class Alignment:
             ends = np.cumsum(sizes[flat])
             sides.append((flat, np.repeat(np.arange(len(ids)), np.array([len(x) for x in ids], int)), ends - sizes[flat], ends))
         (self.a, self.a_doc, self.a_at, self.a_end), (self.b, self.b_doc, self.b_at, self.b_end) = sides
-        of_a = pd.DataFrame({"doc": self.a_doc, "at": self.a_at, "a": np.arange(len(self.a)), "a_at": self.a_at})
-        of_b = pd.DataFrame({"doc": self.b_doc, "at": self.b_at, "b": np.arange(len(self.b)), "b_at": self.b_at})
-        covers_a = pd.merge_asof(of_a, of_b, on="at", by="doc")  # the token of B at each start in A
-        covers_b = pd.merge_asof(of_b, of_a, on="at", by="doc")
+        # Both sides of a document have the same bytes, so with a gap before each document a place
+        # finds its own one, and no key of the documents is needed beside it.
+        of_a = pd.DataFrame({"at": self.a_at + self.a_doc, "a": np.arange(len(self.a)), "a_at": self.a_at})
+        of_b = pd.DataFrame({"at": self.b_at + self.b_doc, "b": np.arange(len(self.b)), "b_at": self.b_at})
+        covers_a = pd.merge_asof(of_a, of_b, on="at")  # the token of B at each start in A
+        covers_b = pd.merge_asof(of_b, of_a, on="at")
         self._found = covers_a[["a", "b"]], covers_b[["a", "b"]]
         self.a_group = np.cumsum(covers_a["b_at"].to_numpy() == self.a_at) - 1
         self.b_group = np.cumsum(covers_b["a_at"].to_numpy() == self.b_at) - 1

@@ -153,3 +153,25 @@ def test_query_equals_reading_by_hand(spark, paths):
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
     got = queries()["op12_token_alignment"](spark, SF).orderBy("doc_id").drop("doc_id").collect()
     assert [tuple(r) for r in got] == by_hand(texts, paths)
+
+
+def test_words_are_divided_and_numbered_as_the_library_does(paths, monkeypatch):
+    """The division of plain texts is that of all texts, and forgotten words are encoded anew."""
+    monkeypatch.setattr(ta, "CACHE_WORDS", 40)
+    tokens = ta.Tokenizers(open(paths[0], encoding="utf-8").read(), open(paths[1], "rb").read())
+    random.seed(9)
+    letters = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028))]
+    texts = ["".join(random.choices([*letters, *" \n'sdmt12" * 20], k=random.randrange(40))) for _ in range(2000)]
+    assert all(ta.PLAIN_WORDS.findall(t) == ta.WORDS.findall(t) for t in texts)
+    for part in (texts[:300], texts[300:301], [], ["", "漢字 x"], texts[:300]):
+        assert tokens.encode_a(part) == [x.ids for x in tokens.a.encode_batch(part, add_special_tokens=False)]
+        assert len(tokens.known) < 40 + 40 * 300
+
+
+def test_documents_next_to_each_other_share_no_token(paths):
+    """Places set documents apart, also where one has no tokens."""
+    tokens = ta.Tokenizers(open(paths[0], encoding="utf-8").read(), open(paths[1], "rb").read())
+    texts = ["the end", "", "the", "the  end", "end", "\x00"]
+    together, alone = ta.Alignment(tokens, texts), [ta.Alignment(tokens, [t]) for t in texts]
+    assert len(together.overlaps()) == sum(len(x.overlaps()) for x in alone if len(x.a))
+    assert together.a_group.max() + 1 == sum(x.a_group.max() + 1 for x in alone if len(x.a))
