@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rulecast.llm import line_dedup, substring_dedup
+from rulecast.llm import line_dedup, substring_dedup, units
 
 
 def brute(rows, min_lines, long_words):
@@ -80,3 +80,22 @@ def test_columns_named_like_the_keys(spark):
     for kept in (line_dedup.remove_repeated_lines(docs, 2, 3), substring_dedup.remove_repeated_units(docs, paragraph_words=2, run_words=4, run_lines=2)):
         assert kept.columns == docs.columns
         assert all(tuple(r)[2:] == (7, "t", 8, 9, "g", 10) for r in kept.collect())
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 6])
+def test_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch, bits):
+    """Marked are those that lose lines and, with a table that is too small, others; the result is the same."""
+    monkeypatch.setattr(units, "MARK_BITS", bits)
+    page = "one two three\nfour five six\nseven eight nine"
+    rows = [(i if i % 50 != 7 else None, page + f"\nown {i}" if i % 20 == 0 else None if i % 31 == 0 else f"own {i}\nalso {i}", 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    gone = line_dedup.repeated_lines(docs)[1]
+    marked = units.maybe_among(units.keyed(docs), gone)
+    assert marked.count() == 400 and marked.where("NOT maybe").join(gone, ["d", "th"]).isEmpty()
+    if bits > 64:
+        assert marked.where("maybe").count() == gone.select("d", "th").distinct().count() == 19
+    got = line_dedup.remove_repeated_lines(docs)
+    assert got.schema == docs.schema
+    text = [t if t is None or i % 20 or i == 0 else f"own {i}" for i, (_, t, _) in enumerate(rows)]
+    want = [(d, t, 5 if t is None else len(t)) for (d, _, _), t in zip(rows, text)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
