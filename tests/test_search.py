@@ -223,6 +223,36 @@ def test_streamed_trainer(spark, train):
     assert got == {k: (pytest.approx(sum(v[0])), len(v[0]), True) for k, v in TRAIN.items() if k != "b"}
 
 
+def test_streamed_trainer_sorts_packed_blocks(spark, monkeypatch):
+    """The task of a series gets a row for each block, whatever their columns; rows without a key
+    or place are a part of the job too."""
+    import datetime
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(training, "PACKED_ROWS", 100)
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(k, i, day + datetime.timedelta(i), float(i), None if i % 3 else [i, None], f"é{i}" if i % 2 else None)
+            for k in ("a", None, "b") for i in range(1050)] + [("a", None, None, -1.0, None, None)]
+    names = ["key", "i", "ts", "v0", "x`y", "block"]
+    series = spark.createDataFrame(rows, "key string, i int, ts timestamp, v0 double, `x``y` array<int>, block string").repartition(5)
+
+    def seen(key, batches):
+        got = pa.Table.from_batches(batches)
+        places = got["i"].to_pylist()
+        ok = places == sorted(places, key=lambda i: -1 if i is None else i) and got.column_names == names
+        times = [None if i is None else day + datetime.timedelta(i) for i in places]
+        ok &= [None if t is None else t.replace(tzinfo=None) for t in got["ts"].to_pylist()] == times
+        ok &= got["block"].to_pylist() == [f"é{i}" if i and i % 2 else None for i in places]
+        ok &= got["x`y"].to_pylist() == [[i, None] if i is not None and i % 3 == 0 else None for i in places]
+        yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.string()), "n": [len(places)], "ok": [ok]})
+
+    trained = training.train_series_streamed(series, seen, "key string, n bigint, ok boolean")
+    assert sorted(map(tuple, trained.collect()), key=str) == [("a", 1051, True), ("b", 1050, True), (None, 1050, True)]
+    plan = trained._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Sort ") == 2
+
+
 def exchanges(df):
     """Shuffles of a plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()
