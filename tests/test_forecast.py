@@ -229,6 +229,34 @@ def test_fitness(spark, tables, strategy, layout, consequent):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_relational_fitness_moves_steps_only(spark, tables, capsys):
+    """Rules of short series are counted where the steps are: none is shuffled, stored in maps or looked up."""
+    population = model_table(spark, ["a", "b", "hot"]).selectExpr("*", "0 as ind")
+    training.evaluate_population(tables[0], population, WHOLE, strategy="relational").explain()
+    plan = capsys.readouterr().out
+    assert "map_from_entries" not in plan and "collect_list(entry" not in plan
+    assert plan.count("Generate posexplode") == 1
+
+
+@pytest.mark.parametrize("longest,consequent", zip((63, 64, None), fc.CONSEQUENTS))
+def test_counts_of_a_whole_series_fit(spark, longest, consequent):
+    """One antecedent and one consequent nearly throughout, so that a count is as high as a series is long."""
+    series = spark.createDataFrame(
+        [(key, t, 1.01 ** (t + (t > 40)), None if key == "gap" and t % 7 == 0 else 1.0) for key in ("a", "gap") for t in range(longest or 63)],
+        "key string, i bigint, v0 double, v1 double")
+    models = spark.createDataFrame(
+        [(key, 1, ind, [0.005, 0.015][:2 - ind], [0.5]) for key in ("a", "gap") for ind in (0, 1)],
+        "key string, model int, ind int, c0 array<double>, c1 array<double>")
+    layouts = [SeriesLayout(whole_keys=True, longest=longest), SeriesLayout(1 << fc.COUNT_BITS, whole_keys=True)]
+    assert [bool(fc.count_bits(layout)) for layout in layouts] == [True, False]
+    whole, plain_way = (
+        {(r["key"], r["ind"]): r["fitness"] for r in training.evaluate_population(
+            series, models, layout, strategy="relational", consequent=consequent).collect()}
+        for layout in layouts
+    )
+    assert whole == pytest.approx(plain_way, rel=1e-12) and len(whole) == 4
+
+
 def test_batch_slices(spark, tables):
     train = tables[0]
     population = model_table(spark, ["a", "hot"]).selectExpr("*", "model - 1 as ind").drop("model").selectExpr("*", "1 as model")
