@@ -238,7 +238,7 @@ def test_relational_fitness_moves_steps_only(spark, tables, capsys):
     assert plan.count("Generate posexplode") == 1
 
 
-@pytest.mark.parametrize("longest,consequent", zip((63, 64, None), fc.CONSEQUENTS))
+@pytest.mark.parametrize("longest,consequent", list(zip((63, 64, None), fc.CONSEQUENTS)))
 def test_counts_of_a_whole_series_fit(spark, longest, consequent):
     """One antecedent and one consequent nearly throughout, so that a count is as high as a series is long."""
     series = spark.createDataFrame(
