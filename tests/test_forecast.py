@@ -238,6 +238,16 @@ def test_relational_fitness_moves_steps_only(spark, tables, capsys):
     assert plan.count("Generate posexplode") == 1
 
 
+def test_relational_fitness_sorts_once_for_all_orders(spark, tables, capsys):
+    """The finest groups of a variable are sorted for; the windows of the coarser ones take that order."""
+    population = model_table(spark, ["a", "b", "hot"]).selectExpr("*", "0 as ind")
+    training.evaluate_population(tables[0], population, WHOLE, strategy="relational").explain()
+    lines = capsys.readouterr().out.splitlines()
+    sorts, windows = ([line for line in lines if f"{node} [" in line and "a1#" in line] for node in ("Sort", "Window"))
+    variables = len(ru.covariate_terms(population)) // 3
+    assert len(sorts) == variables and len(windows) == 3 * variables
+
+
 @pytest.mark.parametrize("longest,consequent", list(zip((63, 64, None), fc.CONSEQUENTS)))
 def test_counts_of_a_whole_series_fit(spark, longest, consequent):
     """One antecedent and one consequent nearly throughout, so that a count is as high as a series is long."""
