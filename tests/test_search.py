@@ -1,6 +1,7 @@
 """Population operators and the search: properties that must hold."""
 
 from collections import Counter
+from dataclasses import replace
 from itertools import product
 from random import Random
 
@@ -362,3 +363,57 @@ def test_series_of_sorted_frames():
         frames = [rows.iloc[at:at + size] for at in range(0, 8, size)]
         got = [part["i"].tolist() for part in training._one_series_each(iter([rows.head(0), *frames]))]
         assert got == [[0, 1], [2, 3, 4], [5], [6, 7]]
+
+
+def test_a_search_lists_the_steps_once(spark, train, monkeypatch):
+    """Generations take the steps of whole series as lists; a list scores as its rows, without a name too."""
+    from rulecast.operators.rules import forecast_steps
+    from rulecast.plans.batch_fitness import gathered_steps
+
+    rows = [(k, i, float(100 + (i * 7 + j) % 13), float((i * 5 + j) % 4)) for j, k in enumerate(["a", "b", None]) for i in range(20 + j)]
+    steps = forecast_steps(spark.createDataFrame(rows, "key string, i bigint, v0 double, v1 double"), WHOLE)
+    people = [(k, 1, ind, [-0.05, 0.0, 0.02 * ind + 0.01], [0.5, 1.5 + ind]) for k in ("a", "b", None, "none") for ind in range(3)]
+    population = spark.createDataFrame(people, "key string, model int, ind int, c0 array<double>, c1 array<double>")
+    listed = gathered_steps(steps, ["c0", "c1"], ["key"])
+    assert listed.count() == 3
+    for slices in (1, 2):
+        got, want = ({(r["key"], r["ind"]): r["fitness"] for r in training.evaluate_steps(
+            table, None, population, WHOLE, SEARCH.sets, slices=slices).collect()} for table in (listed, steps))
+        assert len(got) == 12 and got == pytest.approx(want) and got[None, 0] > 0
+
+    seen, plainly = [], training.evaluate_steps
+    monkeypatch.setattr(training, "evaluate_steps", lambda steps, *rest: seen.append(steps.columns) or plainly(steps, *rest))
+    training.fit_cuts(train, SEARCH, WHOLE)
+    assert seen == [["key", "steps"]] * (SEARCH.generations + 1)
+
+def test_the_first_population_is_made_by_all_tasks(spark, train, monkeypatch):
+    """However few partitions the ranges of the series lie in."""
+    seen, make = [], training.init_population
+    monkeypatch.setattr(training, "init_population", lambda ranges, *rest: seen.append(ranges.rdd.getNumPartitions()) or make(ranges, *rest))
+    training.fit_cuts(train, replace(SEARCH, generations=0), WHOLE)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+@pytest.mark.parametrize("consequent", ["by_position", "by_label", "unguarded"])
+def test_fitness_of_many_labels(spark, consequent):
+    """More labels than a word of places holds, missing and undefined values; counts by sorted codes as by Spark."""
+    import numpy as np
+
+    from rulecast.plans.batch_fitness import _sorted
+
+    draw, sets = Random(5), Sets(14, 23)
+    odd = [None, float("nan"), 0.0]
+    rows = [(k, i, draw.choice(odd) if draw.random() < 0.05 else draw.uniform(1, 2), draw.choice(odd) if draw.random() < 0.1 else float(draw.randrange(25)))
+            for k in "ab" for i in range(90)]
+    series = spark.createDataFrame(rows, "key string, i bigint, v0 double, v1 double")
+    people = [(k, 1, ind, [draw.uniform(-0.5, 0.5) for _ in range(13 - ind)], [draw.uniform(0, 25) for _ in range(22 - ind)]) for k in "ab" for ind in range(4)]
+    population = spark.createDataFrame(people, "key string, model int, ind int, c0 array<double>, c1 array<double>")
+    got, want = ({(r["key"], r["ind"]): r["fitness"] for r in training.evaluate_population(
+        series.where("v0 is null or not isnan(v0)"), population, WHOLE, sets, strategy, consequent=consequent).collect()}
+        for strategy in ("batch", "relational"))
+    assert len(got) == 8 and got == pytest.approx(want)
+
+    for high in (9, 2**60):  # the second does not fit one number with the entry
+        code = np.array([3, high, 1, 3, high, 0])
+        ordered, entry = _sorted(code, np.arange(6), 6)
+        assert ordered.tolist() == sorted(code.tolist()) and code[entry].tolist() == ordered.tolist()
