@@ -386,6 +386,19 @@ def test_a_search_lists_the_steps_once(spark, train, monkeypatch):
     training.fit_cuts(train, SEARCH, WHOLE)
     assert seen == [["key", "steps"]] * (SEARCH.generations + 1)
 
+def test_series_of_one_block_are_searched_as_whole_ones(spark, train, monkeypatch):
+    """A series table without a second block needs no blocks."""
+    seen, plainly = [], training.evaluate_steps
+    monkeypatch.setattr(training, "evaluate_steps", lambda steps, *rest: seen.append(rest[2].whole_keys) or plainly(steps, *rest))
+    search = replace(SEARCH, generations=1)
+    models = [{r["key"]: (r["c0"], r["fitness"]) for r in training.fit_cuts(train, search, SeriesLayout(block_rows=n)).collect()}
+              for n in (1_000, 12)]
+    assert seen == [True, True, False, False]
+    assert models[0].keys() == models[1].keys()
+    for key, (cuts, fitness) in models[0].items():
+        assert models[1][key][0] == cuts and models[1][key][1] == (fitness and pytest.approx(fitness))
+
+
 def test_the_first_population_is_made_by_all_tasks(spark, train, monkeypatch):
     """However few partitions the ranges of the series lie in."""
     seen, make = [], training.init_population
