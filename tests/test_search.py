@@ -430,3 +430,13 @@ def test_fitness_of_many_labels(spark, consequent):
         code = np.array([3, high, 1, 3, high, 0])
         ordered, entry = _sorted(code, np.arange(6), 6)
         assert ordered.tolist() == sorted(code.tolist()) and code[entry].tolist() == ordered.tolist()
+
+
+def test_the_default_trainer_lists_the_steps_once(train, monkeypatch):
+    """As a search on its own, for the price with covariates; the price alone has nothing to list."""
+    seen, plainly = [], training.evaluate_steps
+    monkeypatch.setattr(training, "evaluate_steps", lambda steps, *rest: seen.append(steps.columns) or plainly(steps, *rest))
+    search = replace(SEARCH, generations=0)
+    training.train_series(train, layout=WHOLE, search=search)
+    training.train_series(train, values=["v0"], layout=WHOLE, search=search)
+    assert seen[0] == ["key", "steps"] and "steps" not in seen[1] and len(seen) == 2
